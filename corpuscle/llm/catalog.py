@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import ngram_join, packing, shards, token_orc, warc
+from . import ngram_join, packing, repeats, shards, token_orc, warc
 
 QUERIES = {
     "op1_sharding": shards.op1_sharding,
     "op2_token_orc": token_orc.op2_token_orc,
     "op4_warc": warc.op4_warc,
     "op6_ngram_join": ngram_join.op6_ngram_join,
+    "op9_repeats": repeats.op9_repeats,
     "op10_sum_of_squares": packing.op10_sum_of_squares,
 }
-SQL = {"op1_sharding": shards.OP1_SQL, "op4_warc": warc.OP4_SQL}
+SQL = {"op1_sharding": shards.OP1_SQL, "op4_warc": warc.OP4_SQL, "op9_repeats": repeats.OP9_SQL}
