@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from ..session import ship, shuffle_partitions, staged
 from . import blobs
 from .components import Forest, components
-from .wordops import SPACED_LOWER, mix, run_starts, runs, sequence_hash, utf8, words
+from .wordops import SPACED_LOWER, mix, run_starts, runs, sequence_hash, slices, utf8, words
 
 WORDS = 5
 PERCENT = 75
@@ -57,7 +57,7 @@ def shingle_sets(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.n
 
 def _members(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             _, sizes, prints = shingle_sets(batch.column(1), k)
             node = pa.array(prints.view(I64), mask=sizes == 0)
             yield pa.RecordBatch.from_arrays([batch.column(0), node, pa.array(sizes)], ["doc_id", "node", "n_shingles"])
@@ -75,7 +75,7 @@ def _schema(names: list[str]) -> str:
 
 def _send(k: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 0)):
             found, sizes, prints = shingle_sets(batch.column(0), k)
             kept = np.zeros(len(sizes), bool)
             kept[np.unique(prints, return_index=True)[1]] = True  # copies within the batch go once

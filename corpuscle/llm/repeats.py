@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from ..session import ship, shuffle_partitions, staged
 from . import blobs
-from .wordops import SPACED, mix, run_starts, runs, utf8, words
+from .wordops import SPACED, mix, run_starts, runs, slices, utf8, words
 
 WINDOW = 20
 SEED = 8
@@ -49,7 +49,7 @@ def seeds(hashes: np.ndarray, first: np.ndarray, window: int, seed: int) -> tupl
 
 def _chosen(window: int, seed: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 0)):
             hashes, _, _, first = words(*utf8(batch.column(0)), SPACED)
             _, where, short = seeds(hashes, first, window, seed)
             found = short[where[np.r_[True, where[1:] != where[:-1]]]] if len(where) else np.zeros(0, U64)
@@ -104,7 +104,7 @@ def _schema(names: list[str]) -> str:
 
 def _send(window: int, seed: int, buckets: int, again):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 2)):
             hashes, _, _, first = words(*utf8(batch.column(2)), SPACED)
             at, where, short = seeds(hashes, first, window, seed)
             doc_of = np.repeat(np.arange(batch.num_rows), np.maximum(np.diff(first) - window + 1, 0))
@@ -196,7 +196,7 @@ def spans(paths: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def _cut(with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             data, offsets = utf8(batch.column(1))
             _, starts, ends, first = words(data, offsets, SPACED)
             total, gone, digests, texts = np.diff(first), [], [], []

@@ -73,6 +73,16 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), offsets
 
 
+def slices(batch: pa.RecordBatch, column: int, limit: int = 8 << 20):
+    """The batch in pieces of about `limit` bytes of a string column at most (a longer text alone), without copying."""
+    _, offsets = utf8(batch.column(column))
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def _cuts(data: np.ndarray, lo: int, hi: int, bytes_as: np.ndarray) -> list[int]:
     """Places from lo to hi, about CHUNK apart, each before a separator (or at an end)."""
     cuts = [lo]
