@@ -28,7 +28,7 @@ from .wordops import SPACED_LOWER, mix, run_starts, runs, sequence_hash, slices,
 
 WORDS = 5
 PERCENT = 75
-BUCKET_SHINGLES = 4_000_000
+BUCKET_SHINGLES = 750_000
 TASK_SHINGLES = 2_000_000
 DIVIDE = 0.01
 U64, I64, I32 = np.uint64, np.int64, np.int32
