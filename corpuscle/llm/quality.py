@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import ship, staged
 from .wordops import SPACED_LOWER, slices, table, utf8, words
 
 SAMPLE = 8000
@@ -56,14 +56,14 @@ def features(column: pa.Array, common: np.ndarray) -> np.ndarray:
     lines = np.diff(line_first).astype(float)
     doc = np.repeat(np.arange(n), np.diff(first))
     length = (ends - starts).astype(float)
-    usual = np.bincount(doc[np.isin(hashes, common, kind="sort")], minlength=n) if len(hashes) else np.zeros(n)
+    often = np.bincount(doc[np.isin(hashes, common, kind="sort")], minlength=n) if len(hashes) else np.zeros(n)
     total, square = np.bincount(doc, length, n), np.bincount(doc, length**2, n)
     w, b, l = np.maximum(count, 1), np.maximum(size, 1), np.maximum(lines, 1)
     mean = total / w
     spread = np.sqrt(np.maximum(square / w - mean**2, 0))
     repeats, same_lines = _repeated(hashes, first) / w, _repeated(line_hash, line_first) / l
     shares = kinds / b[:, None]
-    return np.column_stack([shares, np.sqrt(shares), np.log1p(count), np.log1p(count) ** 2, mean, np.log(mean + 1), spread, repeats, repeats**2, same_lines, np.sqrt(same_lines), usual / w, np.log1p(lines), np.log1p(count / l), count == 0, count < 20])
+    return np.column_stack([shares, np.sqrt(shares), np.log1p(count), np.log1p(count) ** 2, mean, np.log(mean + 1), spread, repeats, repeats**2, same_lines, np.sqrt(same_lines), often / w, np.log1p(lines), np.log1p(count / l), count == 0, count < 20])
 
 
 @dataclass
@@ -83,15 +83,15 @@ class Ranker:
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def fit(texts: list[str], good: np.ndarray, share_bad: float, pairs: int = PAIRS, seed: int = 7) -> Ranker:
-    """Learn from texts and whether each is preferred. With one label only, every text gets the same score, above ACCEPT."""
-    column = pa.array(texts, pa.string())
-    hashes = words(*utf8(column), SPACED_LOWER)[0]
-    names, counts = np.unique(hashes, return_counts=True)
-    common = np.sort(names[np.lexsort((names, -counts))[:COMMON]])
-    if len(texts) == 0 or good.all() or not good.any():
+def usual(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The COMMON most frequent of the hashes, sorted."""
+    return np.sort(hashes[np.lexsort((hashes, -counts))[:COMMON]])
+
+
+def learn(common: np.ndarray, x: np.ndarray, good: np.ndarray, share_bad: float, pairs: int = PAIRS, seed: int = 7) -> Ranker:
+    """Fit to features and whether each is preferred. With one label only, every text gets the same score, above ACCEPT."""
+    if not len(good) or good.all() or not good.any():
         return Ranker(common, np.zeros(1), np.ones(1), np.zeros(1), -1.0)
-    x = features(column, common)
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
     z = np.clip((x - mean) / scale, -8, 8)
     rng = np.random.default_rng(seed)
@@ -114,6 +114,20 @@ def remainder(column: str = "doc_id"):
     return F.crc32(F.col(column).cast("string").cast("binary")) % 5
 
 
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in (part for whole in batches for part in slices(whole, 2)):
+        names, counts = np.unique(words(*utf8(batch.column(2)), SPACED_LOWER)[0], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(counts, pa.int64())], ["hash", "n"])
+
+
+def _features(common: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in slices(whole, 2)):
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(features(batch.column(2), common)), pa.list_(pa.float64()))], ["doc_id", "quality", "x"])
+
+    return run
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ranker:
     """Fit on at most `sample` rows a label, those of least hash, whose doc_id's crc32 leaves a remainder by 5.
 
@@ -126,9 +140,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ranker:
     for value in (0, 1):
         part = usable.filter(F.col("quality") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
         chosen = part if chosen is None else chosen.unionByName(part)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", F.coalesce("text", F.lit("")).alias("text")).toPandas()
-    rows = rows.sort_values(["doc_id", "quality", "text"], kind="stable")
-    return fit(rows["text"].tolist(), rows["quality"].to_numpy() == 1, share)
+    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
+    rows = staged(kept.select("doc_id", "quality", F.coalesce("text", F.lit("")).alias("text")), "sample")
+    counts = rows.mapInArrow(_counts, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "hash").limit(COMMON).toPandas()
+    common = usual(counts["hash"].to_numpy(np.int64).view(np.uint64), counts["n"].to_numpy())
+    got = rows.mapInArrow(_features(common), "doc_id long, quality int, x array<double>").toPandas()
+    x = np.array(got["x"].tolist(), float).reshape(len(got), -1)
+    order = np.lexsort((*x.T[::-1], got["quality"], got["doc_id"])) if len(got) else np.zeros(0, int)
+    return learn(common, x[order], got["quality"].to_numpy()[order] == 1, share)
 
 
 def _score(ranker):
