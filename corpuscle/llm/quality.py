@@ -75,6 +75,8 @@ class Ranker:
     threshold: float
 
     def strength(self, x: np.ndarray) -> np.ndarray:
+        if not len(self.weight):
+            return np.zeros(len(x))
         return np.clip((x - self.mean) / self.scale, -8, 8) @ self.weight
 
     def score(self, column: pa.Array) -> np.ndarray:
@@ -91,7 +93,7 @@ def usual(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
 def learn(common: np.ndarray, x: np.ndarray, good: np.ndarray, share_bad: float, pairs: int = PAIRS, seed: int = 7) -> Ranker:
     """Fit to features and whether each is preferred. With one label only, every text gets the same score, above ACCEPT."""
     if not len(good) or good.all() or not good.any():
-        return Ranker(common, np.zeros(1), np.ones(1), np.zeros(1), -1.0)
+        return Ranker(common, np.zeros(0), np.ones(0), np.zeros(0), -1.0)
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
     z = np.clip((x - mean) / scale, -8, 8)
     rng = np.random.default_rng(seed)
