@@ -1,0 +1,70 @@
+"""Review runs: candidates from several channels, caps, pages, decisions, gates and results."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import Window
+
+PRIORITY = {"exact_term": 2, "alias": 1, "semantic_only": 0}
+CLASSES = ("needs_edit", "consistent", "unrelated", "uncertain")
+
+
+class ReviewStateError(RuntimeError):
+    """The run's state does not allow the step."""
+
+
+def merge(hits: DataFrame) -> DataFrame:
+    """hits (path, kind, term, score) -> path, match_kind of highest priority, terms in order, best score."""
+    rank = F.when(F.col("kind") == "exact_term", 2).when(F.col("kind") == "alias", 1).otherwise(0)
+    one = hits.withColumn("priority", rank).groupBy("path").agg(F.max("priority").alias("priority"), F.array_join(F.array_sort(F.collect_set("term")), ",").alias("terms"), F.max("score").alias("score"))
+    kind = F.when(F.col("priority") == 2, "exact_term").when(F.col("priority") == 1, "alias").otherwise("semantic_only")
+    return one.select("path", kind.alias("match_kind"), "priority", "terms", "score")
+
+
+def cap(candidates: DataFrame, most: int = 50) -> DataFrame:
+    """candidates with only the best `most` of the semantic ones."""
+    semantic = candidates.filter("match_kind = 'semantic_only'").orderBy(F.desc("score"), "path").limit(most)
+    return candidates.filter("match_kind <> 'semantic_only'").unionByName(semantic)
+
+
+def pages(candidates: DataFrame, size: int = 200) -> DataFrame:
+    """candidates with position in review order and page. Positions come from per-range counts, so no task sees all rows."""
+    if size <= 0:
+        raise ValueError("a page holds a row at least")
+    spark = candidates.sparkSession
+    from ..session import staged
+
+    order = [F.desc("priority"), F.asc("path")]
+    ranged = staged(candidates.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "ranged")
+    counts = ranged.groupBy("part").agg(F.count("*").alias("rows"))
+    before = counts.withColumn("before", F.coalesce(F.sum("rows").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row a part
+    own = F.row_number().over(Window.partitionBy("part").orderBy(*order))
+    placed = ranged.withColumn("own", own).join(before.select("part", "before"), "part")
+    position = (F.col("before") + F.col("own")).cast("long")
+    return placed.withColumn("position", position).withColumn("page", F.floor((position - 1) / size).cast("long")).drop("part", "own", "before")
+
+
+def classify(candidates: DataFrame, decisions: DataFrame, bulk: str | None = None) -> DataFrame:
+    """candidates with classification: an explicit decision, else the bulk one, else null."""
+    known = decisions.select("path", "classification")
+    return candidates.join(known, "path", "left").withColumn("classification", F.coalesce("classification", F.lit(bulk).cast("string")))
+
+
+def gates(classified: DataFrame, seen: DataFrame) -> DataFrame:
+    """One row: candidates, unseen, unclassified, uncertain, and whether the run can finish."""
+    out = classified.join(seen.select("path", F.lit(True).alias("was_seen")).distinct(), "path", "left")
+    one = out.agg(F.count("*").alias("candidates"), F.count_if(F.col("was_seen").isNull()).alias("unseen"), F.count_if(F.col("classification").isNull()).alias("unclassified"), F.count_if(F.col("classification") == "uncertain").alias("uncertain"))
+    return one.withColumn("finishable", (F.col("unseen") == 0) & (F.col("unclassified") == 0) & (F.col("uncertain") == 0))
+
+
+def finish(classified: DataFrame, seen: DataFrame) -> DataFrame:
+    """The edit inventory, path by path; raises where a gate is shut."""
+    state = gates(classified, seen).first()
+    if not state["finishable"]:
+        raise ReviewStateError(str(state.asDict()))
+    return inventory(classified)
+
+
+def inventory(classified: DataFrame) -> DataFrame:
+    return classified.filter("classification = 'needs_edit'").select("path").distinct()
