@@ -39,8 +39,14 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+ARROW_ROWS = 2000
+
+
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package where neither PYTHONPATH nor the working directory has it."""
+    """Bound Arrow batches, and let Python workers import this package where neither PYTHONPATH nor the working directory has it."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= ARROW_ROWS:
+        spark.conf.set(rows, ARROW_ROWS)
     known = [*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd()]
     if str(ROOT) in (os.path.abspath(p) for p in known if p) or getattr(spark.sparkContext, "_corpuscle_shipped", False):
         return
