@@ -218,7 +218,7 @@ def redact(text: bytes) -> bytes:
 
 
 def _redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole, whole.schema.get_field_index("text"))):
         i = batch.schema.get_field_index("text")
         texts = [None if t is None else redact(t.encode()).decode() for t in batch.column(i).to_pylist()]
         yield batch.set_column(i, batch.schema.field(i), pa.array(texts, batch.schema.field(i).type))

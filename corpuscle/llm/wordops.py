@@ -7,6 +7,9 @@ hashed by a second polynomial. All temporaries are bounded by CHUNK bytes of tex
 
 from __future__ import annotations
 
+import ctypes
+import sys
+
 import numpy as np
 import pyarrow as pa
 
@@ -73,6 +76,13 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), offsets
 
 
+def release() -> None:
+    """Give memory that a batch has freed back to the system, as workers live on and share a budget with their executor."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: int, limit: int = 8 << 20):
     """The batch in pieces of about `limit` bytes of a string column at most (a longer text alone), without copying."""
     _, offsets = utf8(batch.column(column))
@@ -81,6 +91,7 @@ def slices(batch: pa.RecordBatch, column: int, limit: int = 8 << 20):
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
         yield batch.slice(at, to - at)
         at = to
+    release()
 
 
 def _cuts(data: np.ndarray, lo: int, hi: int, bytes_as: np.ndarray) -> list[int]:
