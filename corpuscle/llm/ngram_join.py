@@ -28,7 +28,8 @@ from .wordops import SPACED_LOWER, mix, run_starts, runs, sequence_hash, slices,
 
 WORDS = 5
 PERCENT = 75
-BUCKET_SHINGLES = 750_000
+BUCKET_SHINGLES = 2_500_000
+SORT_SHINGLES = 300_000
 TASK_SHINGLES = 2_000_000
 DIVIDE = 0.01
 U64, I64, I32 = np.uint64, np.int64, np.int32
@@ -93,21 +94,24 @@ def _often(buckets: int):
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         counts = blobs.joined(rows["counts"], I32)
-        doc_of = np.repeat(np.arange(len(counts)), counts)
+        doc_of = np.repeat(np.arange(len(counts), dtype=I32), counts)
         nodes, sizes, tokens = blobs.joined(rows["nodes"], U64), blobs.joined(rows["sizes"], I32), blobs.joined(rows["tokens"], U64)
         del rows
-        order = np.argsort(tokens, kind="stable")
-        t = tokens[order]
-        same = t[1:] == t[:-1]
-        shared = np.r_[same, False] | np.r_[False, same]
-        order = order[shared]
-        order = order[np.lexsort((nodes[doc_of[order]], tokens[order]))]
-        t, v = tokens[order], nodes[doc_of[order]]
-        fresh = np.r_[True, (t[1:] != t[:-1]) | (v[1:] != v[:-1])] if len(t) else np.zeros(0, bool)
-        order, t = order[fresh], t[fresh]
-        start = np.flatnonzero(np.r_[True, t[1:] != t[:-1]]) if len(t) else np.zeros(0, I64)
-        often = np.repeat(np.diff(np.r_[start, len(t)]), np.diff(np.r_[start, len(t)])) if len(t) else np.zeros(0, I64)
-        order, often = order[often > 1], often[often > 1]
+        shares = len(tokens) // SORT_SHINGLES + 1  # a share of the hashes at a time, so that sorting needs little memory
+        share = (mix(tokens) >> U64(40)) % U64(shares)
+        kept, held = [], []
+        for i in range(shares):
+            order = np.flatnonzero(share == i)
+            order = order[np.lexsort((nodes[doc_of[order]], tokens[order]))]
+            t, v = tokens[order], nodes[doc_of[order]]
+            fresh = np.r_[True, (t[1:] != t[:-1]) | (v[1:] != v[:-1])] if len(t) else np.zeros(0, bool)
+            order, t = order[fresh], t[fresh]
+            start = np.flatnonzero(np.r_[True, t[1:] != t[:-1]]) if len(t) else np.zeros(0, I64)
+            have = np.diff(np.r_[start, len(t)])
+            have = np.repeat(have, have)
+            kept.append(order[have > 1])
+            held.append(have[have > 1])
+        order, often = np.concatenate(kept), np.concatenate(held)
         by_doc = np.argsort(nodes[doc_of[order]], kind="stable")
         order, often = order[by_doc], often[by_doc]
         v = nodes[doc_of[order]]
