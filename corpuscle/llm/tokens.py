@@ -14,7 +14,7 @@ import numpy as np
 
 END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
-MEMO = 200_000
+MEMO = 400_000
 _LATIN = re.compile(r"[a-zß-öø-ÿ]+")
 _TAILED = re.compile(rb"([a-z\x80-\xff]+)([!-&(-/:-;=?@\[-`}~]+)")
 _encoders: dict[str, "Encoder"] = {}
