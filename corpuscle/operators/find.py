@@ -40,16 +40,53 @@ def regex(docs: DataFrame, pattern: str, column: str = "content") -> DataFrame:
     return docs.filter(F.col(column).rlike(pattern)).select("*", F.posexplode(found).alias("pos", "match")).withColumn("ordinal", F.col("pos") + 1).drop("pos", column)
 
 
+# LaTeX's sectioning commands from the highest rank down, and the patterns of headings and entries.
+LATEX_RANKS = ("part", "chapter", "section", "subsection", "subsubsection", "paragraph", "subparagraph")
+LATEX_HEADING = r"^[ \t]*\\(" + "|".join(LATEX_RANKS) + r")\*?\s*\{([^{}]*)\}"
+BIBTEX_ENTRY = r"^[ \t]*@([A-Za-z][A-Za-z0-9_-]*)\s*[\[{]\s*([^,\s}\]]+)"
+
+
+def _outline(heads: DataFrame, ranks: int, keep_blank: bool) -> DataFrame:
+    """path, breadcrumb, start_line, end_line from lines with level (1 to ranks, null for no heading) and title.
+
+    What stands before the first heading is a section without breadcrumb, if not blank or keep_blank; so is a whole text without headings.
+    """
+    whole = Window.partitionBy("path")
+    by = whole.orderBy("line_no")
+    heads = heads.withColumn("seen", F.count("level").over(by)).withColumn("total", F.count("level").over(whole)).withColumn("last", F.max("line_no").over(whole))
+    body = F.max((F.col("seen") == 0) & (F.trim("line") != "")).over(whole)
+    front = (F.col("line_no") == 1) & F.col("level").isNull() & (F.lit(keep_blank) | F.col("body") | (F.col("total") == 0))
+    titles = heads.withColumn("body", body).withColumn("level", F.when(front, 0).otherwise(F.col("level"))).filter("level IS NOT NULL")
+    for n in range(1, ranks + 1):  # an ancestor of level n holds until a heading of level n or less
+        titles = titles.withColumn(f"at{n}", F.last(F.when(F.col("level") == n, F.col("line_no")), True).over(by)).withColumn(f"t{n}", F.last(F.when(F.col("level") == n, F.col("title")), True).over(by)).withColumn(f"cut{n}", F.max(F.when(F.col("level") < n, F.col("line_no"))).over(by))
+    crumb = F.concat_ws(" > ", *(F.when((F.col("level") >= n) & (F.col(f"at{n}") > F.coalesce(f"cut{n}", F.lit(0))), F.col(f"t{n}")) for n in range(1, ranks + 1)))
+    return titles.select("path", crumb.alias("breadcrumb"), F.col("line_no").alias("start_line"), F.coalesce(F.lead("line_no").over(by) - 1, F.col("last")).alias("end_line"))
+
+
 def sections(docs: DataFrame) -> DataFrame:
-    """path, breadcrumb, start_line, end_line of Markdown sections: ATX headings outside code fences, each up to the next."""
+    """Sections of Markdown, each up to the next heading: ATX headings, and setext ones after a blank line or none, outside code fences."""
     own = lines(docs)
     by = Window.partitionBy("path").orderBy("line_no")
     fence = F.col("line").rlike(r"^\s*(```|~~~)")
-    level = F.when(F.col("line").rlike(r"^#{1,6}\s") & ~fence & (F.sum(fence.cast("int")).over(by) % 2 == 0), F.length(F.regexp_extract("line", r"^(#+)", 1)))
-    heads = own.withColumn("level", level)
-    titles = heads.filter("level IS NOT NULL").withColumn("title", F.trim(F.regexp_replace(F.regexp_replace("line", r"^#+\s+", ""), r"\s+#+\s*$", "")))
-    last = heads.groupBy("path").agg(F.max("line_no").alias("last"))
-    for n in range(1, 7):  # an ancestor of level n holds until a heading of level n or less
-        titles = titles.withColumn(f"at{n}", F.last(F.when(F.col("level") == n, F.col("line_no")), True).over(by)).withColumn(f"t{n}", F.last(F.when(F.col("level") == n, F.col("title")), True).over(by)).withColumn(f"cut{n}", F.max(F.when(F.col("level") < n, F.col("line_no"))).over(by))
-    crumb = F.concat_ws(" > ", *(F.when((F.col("level") >= n) & (F.col(f"at{n}") > F.coalesce(f"cut{n}", F.lit(0))), F.col(f"t{n}")) for n in range(1, 7)))
-    return titles.join(last, "path").select("path", crumb.alias("breadcrumb"), F.col("line_no").alias("start_line"), F.coalesce(F.lead("line_no").over(by) - 1, F.col("last")).alias("end_line"))
+    open_text = ~fence & (F.sum(fence.cast("int")).over(by) % 2 == 0)
+    own = own.withColumn("free", open_text).withColumn("under", F.regexp_extract(F.lead("line").over(by), r"^[ \t]*(=+|-+)[ \t]*$", 1)).withColumn("above", F.coalesce(F.trim(F.lag("line").over(by)), F.lit("")))
+    atx = F.col("line").rlike(r"^#{1,6}\s")
+    setext = F.when((F.col("above") == "") & (F.trim("line") != "") & (F.col("under") != ""), F.when(F.col("under").startswith("="), 1).otherwise(2))
+    level = F.when(F.col("free"), F.when(atx, F.length(F.regexp_extract("line", r"^(#+)", 1))).otherwise(setext))
+    title = F.when(atx, F.trim(F.regexp_replace(F.regexp_replace("line", r"^#+\s+", ""), r"\s+#+\s*$", ""))).otherwise(F.trim("line"))
+    return _outline(own.withColumn("level", level).withColumn("title", title), 6, False)
+
+
+def latex_sections(docs: DataFrame) -> DataFrame:
+    """Sections of LaTeX by its sectioning commands, starred or not; the preamble stays even if blank."""
+    name = F.regexp_extract("line", LATEX_HEADING, 1)
+    rank = F.array_position(F.array(*map(F.lit, LATEX_RANKS)), name)
+    own = lines(docs).withColumn("level", F.when(name != "", rank)).withColumn("title", F.trim(F.regexp_extract("line", LATEX_HEADING, 2)))
+    return _outline(own, len(LATEX_RANKS), True)
+
+
+def bibtex_sections(docs: DataFrame) -> DataFrame:
+    """One section an entry of BibTeX, its breadcrumb type: key."""
+    kind = F.regexp_extract("line", BIBTEX_ENTRY, 1)
+    own = lines(docs).withColumn("level", F.when(kind != "", 1)).withColumn("title", F.concat(kind, F.lit(": "), F.regexp_extract("line", BIBTEX_ENTRY, 2)))
+    return _outline(own, 1, True)

@@ -44,6 +44,13 @@ def files(spark: SparkSession, root: str) -> DataFrame:
     return raw.select("path", kind.alias("format"), infer_role(F.col("path"), kind).alias("role"), text.alias("content"), F.sha2("content", 256).alias("file_hash"), F.col("length").alias("bytes"), F.when(kind.isNull(), "unsupported").when(binary, "binary").alias("reason"))
 
 
+def jsonl(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of JSON objects: record (variant; null if malformed), malformed, line. Blank lines are left out; any other line that is no object is malformed."""
+    line = F.trim(F.col("value"))
+    record = F.when(line.startswith("{"), F.try_parse_json(line))
+    return spark.read.text(path).filter(line != "").select(record.alias("record"), record.isNull().alias("malformed"), F.col("value").alias("line"))
+
+
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as Markdown: a title, then a heading and the text of each turn. One row a conversation's turns."""
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")

@@ -106,3 +106,31 @@ def test_query_equals_sql(spark, name):
     text = lambda v: "None" if pd.isna(v) else str(int(v)) if isinstance(v, float) and v == int(v) else str(v)
     rows = lambda d: sorted(tuple(map(text, r)) for r in d[sorted(d.columns)].astype(object).itertuples(index=False, name=None))
     assert rows(got) == rows(want)
+
+
+def crumbs(found):
+    return sorted((r.start_line, r.end_line, r.breadcrumb) for r in found.collect())
+
+
+def test_markdown_preamble_and_setext(spark):
+    text = "intro\n\nTitle\n=====\n## A ##\n```\n# no\n```\n\nB\n---\n# Next"
+    assert crumbs(find.sections(docs(spark, ("a.md", text)))) == [(1, 2, ""), (3, 4, "Title"), (5, 9, "Title > A"), (10, 11, "Title > B"), (12, 12, "Next")]
+    assert crumbs(find.sections(docs(spark, ("a.md", "\n# A")))) == [(2, 2, "A")]
+    assert crumbs(find.sections(docs(spark, ("a.md", "")))) == [(1, 1, "")]
+    assert crumbs(find.sections(docs(spark))) == []
+
+
+def test_latex_sections_keep_rank_and_preamble(spark):
+    text = "\n\\chapter{One}\n\\section*{A}\n\\paragraph{p}\nx\n\\section{B}\n\\part{Two}"
+    assert crumbs(find.latex_sections(docs(spark, ("a.tex", text)))) == [(1, 1, ""), (2, 2, "One"), (3, 3, "One > A"), (4, 5, "One > A > p"), (6, 6, "One > B"), (7, 7, "Two")]
+
+
+def test_bibtex_entries(spark):
+    text = "% list\n@article{knuth84,\n title={x}\n}\n@Book(no\n@book{lamport94}"
+    assert crumbs(find.bibtex_sections(docs(spark, ("a.bib", text)))) == [(1, 1, ""), (2, 5, "article: knuth84"), (6, 6, "book: lamport94")]
+
+
+def test_jsonl_marks_malformed_lines(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"a": 1}\n\n[1]\n{"b": \n {"c": "x"}\n')
+    rows = corpus.jsonl(spark, str(tmp_path / "a.jsonl")).select("malformed", F.to_json("record").alias("r"), "line").collect()
+    assert [(r.malformed, r.r) for r in rows] == [(False, '{"a":1}'), (True, None), (True, None), (False, '{"c":"x"}')]
