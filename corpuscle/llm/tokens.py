@@ -1,12 +1,14 @@
 """Token ids by the tokenizers library, remembered word by word.
 
-The tokenizer's own splitting never joins text over white space, so a text's ids are the ids of its white-space-separated
-parts in order. Each distinct part is encoded once per worker and remembered (up to MEMO parts); parts of plain letters
-go to the library's BPE model directly, the rest through its whole pipeline.
+Where the tokenizer's own splitting never joins text over white space (KNOWN), a text's ids are the ids of its
+white-space-separated parts in order. Each distinct part is encoded once per worker and remembered (up to MEMO parts);
+parts of plain letters go to the library's BPE model directly, the rest through its whole pipeline. Any other tokenizer
+encodes whole texts.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 
@@ -15,6 +17,17 @@ import numpy as np
 END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
 MEMO = 400_000
+#: The normalizer and pre-tokenizer that make encoding by parts right.
+KNOWN = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
 _LATIN = re.compile(r"[a-zß-öø-ÿ]+")
 _TAILED = re.compile(rb"([a-z\x80-\xff]+)([!-&(-/:-;=?@\[-`}~]+)")
 _encoders: dict[str, "Encoder"] = {}
@@ -44,6 +57,9 @@ class Encoder(dict):
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
         self.letters = _byte_letters()
+        config = json.loads(self.whole.to_str())
+        added = [t["content"] for t in config["added_tokens"]]
+        self.by_parts = config["model"]["type"] == "BPE" and all(config[k] == v for k, v in KNOWN.items()) and all(t.startswith("<|") and len(t.split()) == 1 for t in added)
 
     def _pack(self, ids) -> bytes:
         return np.array(ids, "<u4").tobytes()
@@ -71,6 +87,8 @@ class Encoder(dict):
         return out
 
     def encode(self, text: bytes) -> bytes:
+        if not self.by_parts:
+            return self._by_library(text)
         if b"<|" not in text:  # special tokens are matched before letters are lowered
             text = text.lower()
         return b"".join(map(self.__getitem__, text.split()))

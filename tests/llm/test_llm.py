@@ -81,6 +81,10 @@ def test_encoder_equals_the_library():
     own = tokens.encoder(tokens.vocabulary())
     for t in texts:
         assert np.frombuffer(own.encode(t.encode()), "<u4").tolist() == own.whole.encode(t, add_special_tokens=False).ids
+    other = tokens.encoder(tokens.vocabulary().replace(tokens.VOCABULARY, "byte_bpe_50k.json"))
+    assert own.by_parts and not other.by_parts
+    for t in (*texts, "two  spaces\tand a Tab"):
+        assert np.frombuffer(other.encode(t.encode()), "<u4").tolist() == other.whole.encode(t, add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("name", sorted(catalog.SQL))
