@@ -10,6 +10,7 @@ from ..functions.text import cosine, terms
 
 CHANNEL = 200
 RRF = 60
+BLOCK = 8 << 20
 
 
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -45,6 +46,19 @@ def nearest(vectors: DataFrame, key: str, vector: str, query: DataFrame, k: int
     return found.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), key)))  # k rows
 
 
+def containing(docs: DataFrame, key: str, text: str, queries: DataFrame, block: int = BLOCK) -> DataFrame:
+    """query_id, key of every text that holds a query (query_id, query) verbatim. Queries go in blocks of about `block` bytes, each broadcast."""
+    asked = queries.select("query_id", "query").filter("query IS NOT NULL")
+    blocks = max(1, -(-(asked.agg(F.sum(F.octet_length("query") + 16)).first()[0] or 0) // block))
+    dealt = asked.withColumn("block", F.pmod(F.xxhash64("query_id", "query"), F.lit(blocks)))
+    own = docs.select(key, text)
+    out = None
+    for i in range(blocks):
+        part = own.join(F.broadcast(dealt.filter(F.col("block") == i)), F.col(text).contains(F.col("query"))).select("query_id", key)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def fuse(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Reciprocal-rank fusion of two ranked channels (keys, rank): left_rank, right_rank, score."""
     both = left.select(*keys, F.col("rank").alias("left_rank")).join(right.select(*keys, F.col("rank").alias("right_rank")), keys, "full_outer")

@@ -240,9 +240,7 @@ def search_mrr_recall(spark, sf):
     docs = corpus.documents(spark, sf)
     asked = spark.read.parquet(f"{sf}/benchmark.parquet").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     ranked = search.top(search.bm25(docs, "path", "content", asked).withColumn("score", F.round("score", 6)), ["query_id"], [F.desc("score"), F.asc("path")], search.CHANNEL)
-    relevant = ranked.join(docs.select("path", "content"), "path").join(asked, "query_id").filter(F.col("content").contains(F.col("query"))).select("query_id", "path")
-    every = docs.select("path", "content").join(F.broadcast(asked), F.col("content").contains(F.col("query"))).select("query_id", "path")  # a stated query set
-    return search.evaluate(ranked.join(relevant, ["query_id", "path"], "left_semi"), every, "path")
+    return search.evaluate(ranked, search.containing(docs, "path", "content", asked), "path")
 
 
 @query("expand_query_bundle", """WITH b AS (SELECT item_id, list_value(text, lower(text), trim(text), split_part(text, '.', 1)) AS q FROM benchmark), u AS (SELECT item_id, unnest(q) AS query, generate_subscripts(q, 1) AS k FROM b),

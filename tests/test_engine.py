@@ -13,7 +13,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from corpuscle.functions import text as X
 from corpuscle.operators import chunks, find, review, search, store
 from corpuscle.plans import catalog
-from corpuscle.sources import corpus
+from corpuscle.sources import corpus, manifest, mirror
 from corpuscle.streaming import feed
 
 SF = "/root/testdata/sf0.001"
@@ -134,3 +134,35 @@ def test_jsonl_marks_malformed_lines(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"a": 1}\n\n[1]\n{"b": \n {"c": "x"}\n')
     rows = corpus.jsonl(spark, str(tmp_path / "a.jsonl")).select("malformed", F.to_json("record").alias("r"), "line").collect()
     assert [(r.malformed, r.r) for r in rows] == [(False, '{"a":1}'), (True, None), (True, None), (False, '{"c":"x"}')]
+
+
+def test_mirror_of_pages(spark):
+    rows = [("a.pdf", 2, "Has\x00NUL and\x0bvtab and\x0cformfeed here.", "s1"), ("a.pdf", 1, "The compres-\nsion of X-\nrays\n\n\n\nend", "s1"), ("b.pdf", 1, None, None), (None, 1, "x", "s")]
+    pages = spark.createDataFrame(rows, "path string, page_no int, page_text string, pdf_sha256 string")
+    made = mirror.mirrors(pages)
+    got = {r.path: r for r in made.collect()}
+    assert set(got) == {"a.pdf", "b.pdf"} and got["a.pdf"].pages == 2
+    text = got["a.pdf"].content
+    assert text.index("## Page 1") < text.index("## Page 2") and "compression" in text and "X-\nrays" in text and "\n\n\n" not in text
+    assert text.endswith("HasNUL and\nvtab and\nformfeed here.\n") and "sha256: s1; format: 1; pages: 2" in text.split("\n")[0]
+    assert {r.path for r in mirror.outdated(pages, made.filter("path = 'a.pdf'")).collect()} == {"b.pdf", None}
+    assert [(r.path, r.span.split("\n")[0]) for r in mirror.page(made, 2).collect()] == [("a.pdf", "## Page 2")]
+    assert mirror.mirrors(pages.limit(0)).count() == 0
+
+
+def test_manifest_round_trip_and_discovery(spark):
+    own = manifest.Manifest(("**/*.md", "notes/*"), ("draft*",), (manifest.Source("notes/\"q\".md", "reference"), manifest.Source("off.md", enabled=False), manifest.Source("draft.md")))
+    assert manifest.loads(manifest.dumps(own)) == own
+    with pytest.raises(ValueError):
+        manifest.loads('[[sources]]\npath = "a"\nrole = "x"')
+    files = spark.createDataFrame([(p, "editable", r) for p, r in [("a.md", None), ("x/a.md", None), ("notes/b.txt", None), ("c.txt", None), ("x/draft1.md", None), ("off.md", None), ("draft.md", None), ('notes/"q".md', None), ("bad.md", "binary")]], "path string, role string, reason string")
+    got = {r.path: (r.role, r.reason) for r in manifest.discover(files, own).collect()}
+    assert {p: v[1] for p, v in got.items() if v[1]} == {"c.txt": "not_included", "x/draft1.md": "excluded", "off.md": "disabled", "bad.md": "binary"}
+    assert got['notes/"q".md'][0] == "reference" and len(got) == 9
+
+
+def test_containing_in_blocks(spark):
+    texts = docs(spark, ("a", "x needle y"), ("b", "pin"), ("c", "needle pin"))
+    asked = spark.createDataFrame([(1, "needle"), (2, "pin"), (3, None), (4, "gone")], "query_id long, query string")
+    for block in (8 << 20, 16):
+        assert sorted(map(tuple, search.containing(texts, "path", "content", asked, block).collect())) == [(1, "a"), (1, "c"), (2, "b"), (2, "c")]
