@@ -1,8 +1,9 @@
 """Secret scans: fixed patterns, and formats learned by grammar inference.
 
 Labelled credentials make a prefix tree over character classes; states whose continuations are statistically compatible
-merge (ALERGIA), which leaves a probabilistic automaton. Every run of credential characters in a text is then scored by
-its likelihood under the automaton, a symbol's chance being shared among the characters of its class.
+merge (ALERGIA), which leaves a probabilistic automaton. Every run of credential characters in a text, and every part of
+one between separators, is then scored by its likelihood under the automaton, a symbol's chance being shared among the
+characters of its class.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ ACCESS = re.compile(rb"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(rb"[0-9a-f]{32,}")
 RUN = re.compile(rb"[A-Za-z0-9+/_.=-]{16,}")
 CUES = (b"passw", b"secret", b"token", b"api")
+SEPARATORS = frozenset("=/.+_-")
 LEAST = 20
 ALPHA = 0.05
 QUANTILE = 0.01
@@ -121,17 +123,21 @@ class Automaton:
             else:
                 red.append(t)
         self.states = red
+        place = {q: i for i, q in enumerate(red)}
+        #: By place in states: that of the next state and log2 chance of each symbol, and the log2 chance of an end.
+        self.steps = [{k: (place[t], math.log2(self.passed[q][k] / self._total(q) / _SHARE.get(k, 1))) for k, t in self.next[q].items()} for q in red]
+        self.ends = [math.log2(self.ended[q] / self._total(q)) if self.ended[q] else -math.inf for q in red]
 
     def score(self, text: str) -> float:
         """Mean log2 likelihood a character, the end included; minus infinity for what the automaton can't write."""
         at, total = 0, 0.0
         for c in text:
             k = _CLASSES.get(c, c)
-            if k not in self.next[at]:
+            if k not in self.steps[at]:
                 return -math.inf
-            total += math.log2(self.passed[at][k] / self._total(at) / _SHARE.get(k, 1))
-            at = self.next[at][k]
-        return (total + math.log2(self.ended[at] / self._total(at))) / (len(text) + 1) if self.ended[at] else -math.inf
+            at, chance = self.steps[at][k]
+            total += chance
+        return (total + self.ends[at]) / (len(text) + 1)
 
 
 class Scanner:
@@ -147,6 +153,45 @@ class Scanner:
         mixed = any(c.isdigit() for c in run) and any(c.isalpha() for c in run)
         return len(run) >= LEAST and mixed and self.automaton.score(run) >= self.least
 
+    def parts(self, run: str) -> list[tuple[int, int]]:
+        """start, end of credentials in run: all of it without . = - at its ends if that is one, else the disjoint parts whose gains add up to most.
+
+        A part starts at run's start or after a separator and ends at run's end or before one; its gain is the log likelihood
+        over what the least score allows its length. One pass holds one path of the automaton for each state, kind of
+        characters seen and length up to LEAST, as what follows adds the same to all such paths; time grows with run's length.
+        """
+        whole = run.strip(".=-")
+        at = run.index(whole)
+        if len(whole) < LEAST or self.credential(whole):
+            return [(at, at + len(whole))] if len(whole) >= LEAST else []
+        steps, ends, least = self.automaton.steps, self.automaton.ends, self.least
+        best: tuple = (0.0, None)  # gain before i, and the chain of spans
+        paths: dict[tuple, tuple] = {}  # (state, digit seen, letter seen, length up to LEAST) -> total, start, best at start
+        for i, c in enumerate([*run, ""]):
+            last = run[i - 1] if i else "="
+            now = best
+            if (not c or c in SEPARATORS) and last not in ".=-":
+                for (q, digit, letter, n), (total, start, before) in paths.items():
+                    gain = before[0] + total + ends[q] - least * (i - start + 1)
+                    if digit and letter and n >= LEAST and gain >= best[0] and (total + ends[q]) / (i - start + 1) >= least:
+                        best = (gain, (start, i, before[1]))
+            if c and (c not in SEPARATORS and last in SEPARATORS or c not in ".=-" and last == "="):
+                paths[0, False, False, 0] = (0.0, i, now)
+            k, moved = _CLASSES.get(c, c), {}
+            for (q, digit, letter, n), (total, start, before) in paths.items():
+                if k in steps[q]:
+                    q, chance = steps[q][k]
+                    key, path = (q, digit or c.isdigit(), letter or c.isalpha(), min(n + 1, LEAST)), (total + chance, start, before)
+                    old = moved.get(key)
+                    if not old or path[0] + before[0] + least * start > old[0] + old[2][0] + least * old[1]:
+                        moved[key] = path
+            paths = moved
+        out, chain = [], best[1]
+        while chain:
+            out.append(chain[:2])
+            chain = chain[2]
+        return out[::-1]
+
     def spans(self, text: bytes) -> list[tuple[int, int, int]]:
         """start, kind, end in bytes, ordered; formats only where no base match lies."""
         base = []
@@ -159,10 +204,9 @@ class Scanner:
             base += [(m.start(), 2, m.end()) for m in HEX.finditer(text, a, b)]
         more = []
         for a, b in runs:
-            own = text[a:b].decode().rstrip(".=-").lstrip(".=-")
-            at = text.index(own.encode(), a)
-            if own and not any(s < at + len(own) and e > at for s, _, e in base) and self.credential(own):
-                more.append((at, 3, at + len(own)))
+            for s, e in sorted((s, e) for s, _, e in base if s < b and e > a) + [(b, b)]:
+                more += [(a + x, 3, a + y) for x, y in self.parts(text[a:s].decode())]
+                a = max(a, e)
         return sorted(base + more)
 
 
