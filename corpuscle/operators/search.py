@@ -39,11 +39,21 @@ def top(scored: DataFrame, by: list[str], order: list[Column], k: int) -> DataFr
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("rank") <= k)
 
 
-def nearest(vectors: DataFrame, key: str, vector: str, query: DataFrame, k: int = CHANNEL) -> DataFrame:
-    """key, score, rank of the k vectors most like the one row of query."""
-    scored = vectors.crossJoin(F.broadcast(query.select(F.col(vector).alias("asked")).limit(1))).select(key, F.round(cosine(F.col(vector), F.col("asked")), 9).alias("score"))
-    found = scored.orderBy(F.desc("score"), key).limit(k)
-    return found.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), key)))  # k rows
+def nearest(vectors: DataFrame, key: str, vector: str, queries: DataFrame, k: int = CHANNEL, block: int = BLOCK) -> DataFrame:
+    """query_id, key, score, rank of the k vectors most like each row of queries (query_id, vector). Queries go in blocks of about `block` bytes, each broadcast.
+
+    query_id is to be unique. A query is held against every vector, its own included; a null vector comes last.
+    """
+    asked = queries.select("query_id", F.col(vector).alias("asked"))
+    blocks = max(1, -(-(asked.agg(F.sum(8 * F.greatest(F.size("asked"), F.lit(0)) + 16)).first()[0] or 0) // block))
+    dealt = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+    own = vectors.select(key, F.col(vector).alias("own"))
+    out = None
+    for i in range(blocks):
+        scored = own.crossJoin(F.broadcast(dealt.filter(F.col("block") == i).drop("block"))).select("query_id", key, F.round(cosine(F.col("own"), F.col("asked")), 9).alias("score"))
+        part = top(scored, ["query_id"], [F.desc("score"), F.asc(key)], k)
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def containing(docs: DataFrame, key: str, text: str, queries: DataFrame, block: int = BLOCK) -> DataFrame:

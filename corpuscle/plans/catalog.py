@@ -194,10 +194,20 @@ def hash_embed(spark, sf):
 s AS (SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], a::DOUBLE[]), 9) AS score FROM embeddings, q) SELECT vec_id, round(score, 6) AS score FROM s ORDER BY s.score DESC, vec_id LIMIT 200""")
 def knn_topk(spark, sf):
     vectors = spark.read.parquet(f"{sf}/embeddings.parquet")
-    first = vectors.orderBy("vec_id").limit(1)
+    first = vectors.orderBy("vec_id").limit(1).withColumn("query_id", F.col("vec_id"))
     return search.nearest(vectors, "vec_id", "embedding", first).select("vec_id", F.round("score", 6).alias("score"))
 
 
+@query("knn_topk_by_query", """WITH q AS (SELECT vec_id AS query_id, embedding AS a FROM embeddings WHERE vec_id % 100 = 0),
+s AS (SELECT query_id, vec_id, round(list_cosine_similarity(embedding::DOUBLE[], a::DOUBLE[]), 9) AS score FROM embeddings, q),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, vec_id, round(score, 6) AS score, rank::INT AS rank FROM r WHERE rank <= 200""")
+def knn_topk_by_query(spark, sf):
+    vectors = spark.read.parquet(f"{sf}/embeddings.parquet")
+    asked = vectors.filter("vec_id % 100 = 0").withColumn("query_id", F.col("vec_id"))
+    return search.nearest(vectors, "vec_id", "embedding", asked).select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
+
+
 def _fused(spark, docs):
     longest = docs.select("path", F.size(F.split("content", "\n", -1)).alias("k"), F.lit(1).alias("one"))
     other = search.top(longest, ["one"], [F.desc("k"), F.asc("path")], search.CHANNEL)

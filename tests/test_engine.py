@@ -166,3 +166,13 @@ def test_containing_in_blocks(spark):
     asked = spark.createDataFrame([(1, "needle"), (2, "pin"), (3, None), (4, "gone")], "query_id long, query string")
     for block in (8 << 20, 16):
         assert sorted(map(tuple, search.containing(texts, "path", "content", asked, block).collect())) == [(1, "a"), (1, "c"), (2, "b"), (2, "c")]
+
+
+def test_nearest_answers_every_query(spark):
+    rows = spark.createDataFrame([(i, [float(i % 7 + 1), float(i % 5), 1.0]) for i in range(40)], "vec_id long, embedding array<double>")
+    asked = rows.filter("vec_id % 10 = 0").withColumn("query_id", F.col("vec_id"))
+    vectors = {r.vec_id: r.embedding for r in rows.collect()}
+    like = lambda a, b: round(sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) * sum(y * y for y in b)) ** 0.5, 9)
+    want = sorted((q, r, v) for q in (0, 10, 20, 30) for r, v in enumerate(sorted(vectors, key=lambda v: (-like(vectors[q], vectors[v]), v))[:6], 1))
+    for block in (8 << 20, 64):
+        assert sorted((r.query_id, r["rank"], r.vec_id) for r in search.nearest(rows, "vec_id", "embedding", asked, 6, block).collect()) == want
