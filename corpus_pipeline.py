@@ -17,11 +17,15 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that links connect: that of the smallest doc_id. Rows without doc_id stay."""
-    found = ngram_join.jaccard_components(docs)
-    gone = staged(found.filter("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    small = gone.limit(DROP_ROWS + 1).count() <= DROP_ROWS  # 8 MB of ids; more are joined by shuffling
-    kept = docs.join(F.broadcast(gone) if small else gone, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group that links connect: that of the smallest doc_id. Rows without doc_id stay.
+
+    Rows that share a doc_id are told apart by a hash of the text.
+    """
+    own = docs.withColumn("near_duplicates_key", F.xxhash64("text"))
+    found = ngram_join.jaccard_components(own, keys=("near_duplicates_key",))
+    gone = staged(found.filter("doc_id <> component_id").select("doc_id", "near_duplicates_key").distinct(), "gone")
+    small = gone.limit(DROP_ROWS + 1).count() <= DROP_ROWS  # 16 MB of ids and hashes; more are joined by shuffling
+    kept = own.join(F.broadcast(gone) if small else gone, ["doc_id", "near_duplicates_key"], "left_anti").select(*docs.columns)
     again = docs.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").isEmpty()
     return kept if again else kept.dropDuplicates(["doc_id", "text"])
 

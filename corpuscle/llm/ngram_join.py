@@ -56,12 +56,12 @@ def shingle_sets(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.n
     return np.concatenate(out) if out else np.zeros(0, U64), sizes, prints
 
 
-def _members(k: int):
+def _members(k: int, keys: tuple[str, ...] = ()):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole, 1)):
             _, sizes, prints = shingle_sets(batch.column(1), k)
             node = pa.array(prints.view(I64), mask=sizes == 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), node, pa.array(sizes)], ["doc_id", "node", "n_shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), node, pa.array(sizes), *batch.columns[2:]], ["doc_id", "node", "n_shingles", *keys])
 
     return run
 
@@ -213,10 +213,10 @@ def _search(percent: int):
     return run
 
 
-def members(docs: DataFrame, k: int = WORDS) -> DataFrame:
-    """doc_id, node (the set's fingerprint; null without words), n_shingles."""
+def members(docs: DataFrame, k: int = WORDS, keys: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, node (the set's fingerprint; null without words), n_shingles, and the long columns keys."""
     ship(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_members(k), "doc_id long, node long, n_shingles long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *keys).mapInArrow(_members(k, keys), ", ".join(["doc_id long, node long, n_shingles long", *(f"{c} long" for c in keys)]))
 
 
 def links(docs: DataFrame, shingles: int, k: int = WORDS, percent: int = PERCENT, task_shingles: int = TASK_SHINGLES) -> DataFrame:
@@ -243,19 +243,19 @@ def links(docs: DataFrame, shingles: int, k: int = WORDS, percent: int = PERCENT
     return small.unionByName(large).groupBy("cluster", "i", "j").applyInPandas(_search(percent), "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id reachable over links of the similarity) of each row of docs.
+def jaccard_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, keys: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest doc_id reachable over links of the similarity) of each row of docs, and its long columns keys.
 
-    Only doc_id and text are read. A text without words has no shingles and stands alone; one of fewer than k words is a
+    Only doc_id, text and keys are read. A text without words has no shingles and stands alone; one of fewer than k words is a
     single shingle. Equal sets are linked, so repeated rows and ties fall together; rows without doc_id take part and
     never name a component unless alone. An empty table gives no rows.
     """
-    known = staged(members(docs, k), "members")
+    known = staged(members(docs, k, keys), "members")
     shingles = known.agg(F.sum("n_shingles")).first()[0] or 0
     roots = components(links(docs, shingles, k, percent))
     rooted = known.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     names = rooted.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("name"))
-    return rooted.join(names, "root", "left").select("doc_id", "n_shingles", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("name")).alias("component_id"))
+    return rooted.join(names, "root", "left").select("doc_id", "n_shingles", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("name")).alias("component_id"), *keys)
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

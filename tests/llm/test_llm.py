@@ -308,3 +308,10 @@ def test_pipeline_stages(spark, docs):
             assert decontaminate.find_matches(after, spark.read.parquet(f"{SF}/benchmark.parquet")).filter("size(matches) > 0").isEmpty()
         now = after
     assert corpus_pipeline.STAGES[4][1](spark, now, SF).select("doc_id").distinct().count() == now.count()
+
+
+def test_pipeline_keeps_other_texts_of_a_doc_id(spark):
+    copy, clean = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = spark.createDataFrame([(1, copy), (2, copy + " more"), (2, clean), (3, clean), (4, None), (None, copy)], "doc_id long, text string")
+    got = corpus_pipeline.near_duplicates(spark, rows, SF).collect()
+    assert sorted(((r.doc_id or -1), r.text or "") for r in got) == [(-1, copy), (1, copy), (2, clean), (4, "")]
