@@ -32,6 +32,7 @@ BUCKET_SHINGLES = 2_500_000
 SORT_SHINGLES = 300_000
 TASK_SHINGLES = 2_000_000
 DIVIDE = 0.01
+BROADCAST_ROWS = 500_000  # 8 MB of roots and totals
 U64, I64, I32 = np.uint64, np.int64, np.int32
 
 
@@ -143,12 +144,19 @@ def _rare(percent: int):
     return run
 
 
-def divide_skip(lists: list[np.ndarray], least: int, total: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places (below total) that at least `least` of the sorted lists hold, and in how many.
+def merged(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct places of sorted lists and how many lists hold each; a stable sort merges the lists as the runs they are."""
+    places = np.sort(np.concatenate(lists), kind="stable")
+    at = np.flatnonzero(np.r_[True, places[1:] != places[:-1]])
+    return places[at], np.diff(np.r_[at, len(places)])
+
+
+def divide_skip(lists: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places that at least `least` of the sorted lists hold, and in how many.
 
     The longest lists, as many as DivideSkip's rule sets aside, wait. The short ones are merged; a place found there often
-    enough to reach `least` with the long ones is looked up in each of those by binary search, or, where the candidates
-    outnumber what a search saves, by merging that list as well.
+    enough to reach `least` with the long ones is looked up in each of those by binary search. Time and memory go with the
+    lists' lengths, not with the number of sets.
     """
     lists = sorted(lists, key=len)
     longest = len(lists[-1]) if lists else 0
@@ -156,19 +164,12 @@ def divide_skip(lists: list[np.ndarray], least: int, total: int) -> tuple[np.nda
     short, long = lists[: len(lists) - aside], lists[len(lists) - aside :]
     if not short:
         return np.zeros(0, I64), np.zeros(0, I64)
-    count = np.bincount(np.concatenate(short), minlength=total)
-    places = np.flatnonzero(count >= least - aside)
-    if not len(places):
-        return places, places
-    if len(places) * 8 > sum(map(len, long)) / max(len(long), 1):
-        if long:
-            count += np.bincount(np.concatenate(long), minlength=total)
-        have = count[places]
-    else:
-        have = count[places]
-        for own in long:
-            at = np.minimum(np.searchsorted(own, places), len(own) - 1)
-            have = have + (own[at] == places)
+    places, have = merged(short)
+    near = have >= least - aside
+    places, have = places[near], have[near]
+    for own in long if len(places) else ():
+        at = np.minimum(np.searchsorted(own, places), len(own) - 1)
+        have = have + (own[at] == places)
     enough = have >= least
     return places[enough], have[enough]
 
@@ -189,6 +190,7 @@ def _search(percent: int):
         which[order] = np.repeat(np.arange(len(start)), end - start)
         holders = owner[order]
         forest, edges, at = Forest(), [], 0
+        linked = np.zeros(len(nodes), I64)
         for i in range(len(nodes)):
             own = which[at : at + lengths[i]]
             at += int(lengths[i])
@@ -199,16 +201,18 @@ def _search(percent: int):
                     part = holders[a:b]
                     part = part[np.searchsorted(part, floor) : np.searchsorted(part, i)]
                     if len(part):
-                        lists.append(part - floor)
+                        lists.append(part)
             least = -(-percent * int(sizes[i]) // 100)
             if i == floor or len(lists) < least:
                 continue
-            places, have = divide_skip(lists, least, i - floor)
-            places = places + floor
-            for j in places[(100 + percent) * have >= percent * (sizes[i] + sizes[places])].tolist():
-                if (both[i] != both[j] or both[i] == 2) and forest.union(i, j):
-                    edges.append((nodes[i], nodes[j]))
-        return pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
+            places, have = divide_skip(lists, least)
+            places = places[((100 + percent) * have >= percent * (sizes[i] + sizes[places])) & ((both[places] != both[i]) | (both[i] == 2))]
+            linked[places] += 1
+            linked[i] += len(places)
+            edges += [(nodes[i], nodes[j], 0) for j in places.tolist() if forest.union(i, j)]
+        edges += [(nodes[i], None, int(linked[i])) for i in np.flatnonzero(linked).tolist()]
+        a, b, n = zip(*edges) if edges else ((), (), ())
+        return pd.DataFrame({"a": pd.array(a, "Int64"), "b": pd.array(b, "Int64"), "n": pd.array(n, "Int64")})
 
     return run
 
@@ -220,7 +224,11 @@ def members(docs: DataFrame, k: int = WORDS, keys: tuple[str, ...] = ()) -> Data
 
 
 def links(docs: DataFrame, shingles: int, k: int = WORDS, percent: int = PERCENT, task_shingles: int = TASK_SHINGLES) -> DataFrame:
-    """a, b: pairs of different sets at the similarity, enough of them to connect all that are connected. shingles: about how many there are."""
+    """Links of different sets at the similarity: rows a, b that connect all that are connected, and rows a, null, n whose n add up to a's number of links.
+
+    shingles: about how many there are. Every pair that links is found and verified in one task; only those that join two
+    parts of what the task knows are listed, as a group's pairs grow with its square.
+    """
     spark = docs.sparkSession
     ship(spark)
     buckets = max(shuffle_partitions(spark), -(-shingles // BUCKET_SHINGLES))
@@ -230,32 +238,58 @@ def links(docs: DataFrame, shingles: int, k: int = WORDS, percent: int = PERCENT
     looked = rare.select("node", F.explode(F.slice("tokens", 1, F.least("look", F.size("tokens")).cast("int"))).alias("token"))
     least = looked.groupBy("token").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most").drop("most")
     clusters = components(looked.join(least, "token").filter("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")))
-    placed = staged(rare.drop("look").join(clusters, "node"), "clustered")
-    total = placed.groupBy("root").agg(F.sum(F.size("tokens")).alias("total"))
-    everything = total.agg(F.sum("total")).first()[0] or 0
+    placed = staged(rare.drop("look").join(clusters, "node").withColumn("held", F.size("tokens")), "clustered")
+    everything = placed.agg(F.sum("held")).first()[0] or 0
     bins = max(1, -(-everything * 2 // task_shingles))
-    sized = placed.join(total, "root").withColumn("blocks", F.ceil(F.col("total") / task_shingles).cast("int"))
+    # clusters over a task's share: everything / task_shingles at most; the others need not be known
+    big = staged(placed.groupBy("root").agg(F.sum("held").alias("total")).filter(F.col("total") > task_shingles), "big")
+    small = big.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    sized = placed.join(F.broadcast(big) if small else big, "root", "left").withColumn("blocks", F.coalesce(F.ceil(F.col("total") / task_shingles), F.lit(1)).cast("int"))
     small = sized.filter("blocks = 1").select(F.lit(-1).cast("long").alias("cluster"), F.pmod(F.xxhash64("root"), F.lit(bins)).cast("int").alias("i"), F.lit(0).alias("j"), F.lit(2).alias("side"), "node", "size", "tokens")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     other = sized.filter("blocks > 1").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pick = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
     large = other.select(F.col("root").alias("cluster"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), pick.alias("side"), "node", "size", "tokens")
-    return small.unionByName(large).groupBy("cluster", "i", "j").applyInPandas(_search(percent), "a long, b long")
+    return staged(small.unionByName(large).groupBy("cluster", "i", "j").applyInPandas(_search(percent), "a long, b long, n long"), "links")
+
+
+def rooted(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, keys: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_shingles, n_links, root, least (the smallest doc_id that has root) of each row of docs, and its long columns keys.
+
+    Rows of one root are those that links connect; a text without words has no root. n_links counts the other sets at the
+    similarity; rows of one set, exact copies among them, are one.
+    """
+    spark = docs.sparkSession
+    known = staged(members(docs, k, keys), "members")
+    total = known.agg(F.sum("n_shingles").alias("n"), F.count("*").alias("rows")).first()
+    found = links(docs, total["n"] or 0, k, percent)
+    roots = components(found.filter("b IS NOT NULL"))
+    counts = found.filter("b IS NULL").groupBy("a").agg(F.sum("n").alias("n_links"))
+    sets = known.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("own"), F.count("*").alias("rows"))
+    sets = staged(sets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "sets")
+    several = sets.groupBy("root").agg(F.min("own").alias("least"), F.count("*").alias("parts")).filter("parts > 1").drop("parts")
+    named = sets.join(several, "root", "left").join(counts, sets["node"] == counts["a"], "left")
+    named = staged(named.select("node", "root", "rows", F.coalesce("least", "own").alias("least"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "named")
+    # sets of very many rows would fill one task of the join: there are 4 a partition at most, and they are broadcast
+    many = 1 + (total["rows"] or 0) // (4 * shuffle_partitions(spark))
+    hot = named.filter(F.col("rows") > many).drop("rows")
+    cold = named.filter(F.col("rows") <= many).drop("rows")
+    columns = ["doc_id", "n_shingles", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "root", "least", *keys]
+    by_hot = known.join(F.broadcast(hot), "node").select(columns)
+    by_cold = known.filter("node IS NOT NULL").join(F.broadcast(hot.select("node")), "node", "left_anti").join(cold, "node").select(columns)
+    alone = known.filter("node IS NULL").withColumns({"n_links": F.lit(0), "root": F.col("node"), "least": F.col("node")}).select(columns)
+    return by_hot.unionByName(by_cold).unionByName(alone)
 
 
 def jaccard_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, keys: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id reachable over links of the similarity) of each row of docs, and its long columns keys.
+    """doc_id, n_shingles, component_id (the smallest doc_id reachable over links of the similarity), n_links of each row of docs, and its long columns keys.
 
     Only doc_id, text and keys are read. A text without words has no shingles and stands alone; one of fewer than k words is a
     single shingle. Equal sets are linked, so repeated rows and ties fall together; rows without doc_id take part and
-    never name a component unless alone. An empty table gives no rows.
+    never name a component unless alone. n_links counts different sets, so copies add none. An empty table gives no rows.
     """
-    known = staged(members(docs, k, keys), "members")
-    shingles = known.agg(F.sum("n_shingles")).first()[0] or 0
-    roots = components(links(docs, shingles, k, percent))
-    rooted = known.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    names = rooted.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("name"))
-    return rooted.join(names, "root", "left").select("doc_id", "n_shingles", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("name")).alias("component_id"), *keys)
+    out = rooted(docs, k, percent, keys)
+    return out.select("doc_id", "n_shingles", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"), "n_links", *keys)
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

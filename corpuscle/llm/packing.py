@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship, staged
 from .tokens import encoder, vocabulary
-from .wordops import utf8
+from .wordops import slices, utf8
 
 CAPACITY = 2048
 GROUP = 16_384
@@ -28,7 +28,7 @@ END = 0
 def _cut(path: str, capacity: int, end: tuple[int, ...], with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, tail = encoder(path).encode, np.array(end, "<u4").tobytes()
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             data, offsets = utf8(batch.column(1))
             at, names = offsets.tolist(), batch.column(0).to_pylist()
             out: list[tuple] = []
@@ -100,14 +100,15 @@ def _pack(capacity: int):
 def pack(cut: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
     """cut with sequence_id and offset: sequences of at most capacity tokens, gapless from offset 0.
 
-    Reads doc_id, piece, start, length, ids_crc32; lengths are from 1 to capacity. Equal rows are interchangeable, so the
-    result is the same in each run. The number of groups follows the number of pieces, so a task's share is bounded.
+    Reads doc_id, piece, start, length, ids_crc32; lengths are from 1 to capacity. Rows are dealt by their number in cut,
+    so repeated rows and rows without doc_id spread like all others, and the number of groups follows the number of pieces:
+    a task's share is bounded. The same cut, in the same partitions, is packed the same way in each run.
     """
     spark = cut.sparkSession
     ship(spark)
-    kept = staged(cut.select("doc_id", "piece", "start", "length", "ids_crc32"), "pieces")
+    kept = staged(cut.select("doc_id", "piece", "start", "length", "ids_crc32", F.monotonically_increasing_id().alias("nth")), "pieces")
     groups = max(1, round(kept.count() / group))
-    dealt = kept.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
+    dealt = kept.withColumn("group", F.pmod(F.xxhash64("nth"), F.lit(groups))).drop("nth")
     return dealt.groupBy("group").applyInPandas(_pack(capacity), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 

@@ -20,10 +20,11 @@ from pyspark.sql import types as T
 
 from ..session import shared_path, ship, shuffle_partitions
 from .tokens import END_ID, encoder, vocabulary
-from .wordops import utf8
+from .wordops import slices, utf8
 
 ROW_INDEX = 1000
 STRIPE = 32 << 20
+RANGE_CHARS = 48
 ORC = {
     "compression": "zstd",
     "orc.bloom.filter.columns": "doc_id",
@@ -39,13 +40,10 @@ def _encode(path: str, end: tuple[int, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, first = encoder(path).encode, TaskContext.get().partitionId(), 0
         tail = np.array(end, "<u4").tobytes()
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in slices(whole, 1)):
             data, offsets = utf8(batch.column(1))
-            raw = data.tobytes() if len(data) == offsets[-1] - offsets[0] and offsets[0] == 0 else None
             at = offsets.tolist()
-            got = []
-            for a, b in zip(at, at[1:]):
-                got.append(encode(raw[a:b] if raw is not None else data[a:b].tobytes()) + tail)
+            got = [encode(data[a:b].tobytes()) + tail for a, b in zip(at, at[1:])]
             sizes = np.array([len(x) // 4 for x in got], np.int64)
             before = first + np.cumsum(sizes) - sizes
             first += int(sizes.sum())
@@ -60,13 +58,15 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end: tuple[i
     """Encode every whole text (null: empty), append the end ids, and write ORC in ascending doc_id order.
 
     Only doc_id and text are read; further columns may have any name. A null doc_id sorts first. Rows of one doc_id are
-    ordered by text, so ties are settled the same way in each run, and repeated rows each keep a row of their own. An
-    empty table writes no rows. Lost tasks are run again from the range shuffle; nothing is kept outside the shared path.
+    ordered by text, so ties are settled the same way in each run, and repeated rows each keep a row of their own. Many
+    rows of one doc_id, or without one, are split by how their texts begin. An empty table writes no rows. Lost tasks are run again from the range shuffle; nothing is kept outside the shared path.
     """
     spark = docs.sparkSession
     ship(spark)
     kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    ordered = kept.repartitionByRange(shuffle_partitions(spark), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    lead = F.substring("text", 1, RANGE_CHARS)  # bounds of ranges go through the driver, so whole texts may not be keys
+    ranged = kept.repartitionByRange(shuffle_partitions(spark), F.col("doc_id").asc_nulls_first(), lead)
+    ordered = ranged.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     ordered.mapInArrow(_encode(tokenizer or vocabulary(), end), SCHEMA).write.format("orc").options(**ORC).save(f"{path}/data")
     rows(spark, path).groupBy("part").agg(F.sum("n_tokens").alias("total"), F.count("*").alias("documents"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).coalesce(1).write.parquet(f"{path}/parts")
 

@@ -1,8 +1,9 @@
 """Token ids by the tokenizers library, remembered word by word.
 
 Where the tokenizer's own splitting never joins text over white space (KNOWN), a text's ids are the ids of its
-white-space-separated parts in order. Each distinct part is encoded once per worker and remembered (up to MEMO parts);
-parts of plain letters go to the library's BPE model directly, the rest through its whole pipeline. Any other tokenizer
+white-space-separated parts in order. A worker remembers parts in two generations of MEMO bytes each: when the young one
+is full it becomes the old one, and a part met again moves back to the young, so usual parts stay and memory is bounded.
+Parts of plain letters go to the library's BPE model directly, the rest through its whole pipeline. Any other tokenizer
 encodes whole texts.
 """
 
@@ -11,12 +12,12 @@ from __future__ import annotations
 import json
 import os
 import re
-
-import numpy as np
+import struct
 
 END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
-MEMO = 400_000
+MEMO = 40 << 20  # bytes, of each of two generations
+ENTRY = 200  # bytes an entry of a dictionary takes besides its contents
 #: The normalizer and pre-tokenizer that make encoding by parts right.
 KNOWN = {
     "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
@@ -51,6 +52,8 @@ class Encoder(dict):
 
     def __init__(self, path: str):
         super().__init__()
+        self.old: dict[bytes, bytes] = {}
+        self.room = MEMO
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -61,28 +64,31 @@ class Encoder(dict):
         added = [t["content"] for t in config["added_tokens"]]
         self.by_parts = config["model"]["type"] == "BPE" and all(config[k] == v for k, v in KNOWN.items()) and all(t.startswith("<|") and len(t.split()) == 1 for t in added)
 
-    def _pack(self, ids) -> bytes:
-        return np.array(ids, "<u4").tobytes()
-
     def _by_library(self, part: bytes) -> bytes:
-        return self._pack(self.whole.encode(part.decode(), add_special_tokens=False).ids)
+        ids = self.whole.encode(part.decode(), add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
-    def _by_model(self, text: str) -> bytes:
-        return self._pack([t.id for t in self.model.tokenize("".join([self.letters[b] for b in text.encode()]))])
+    def _by_model(self, letters: str) -> bytes:
+        ids = [t.id for t in self.model.tokenize(letters)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def __missing__(self, part: bytes) -> bytes:
-        if len(self) >= MEMO:
-            self.clear()
         if len(part) > 200:
             return self._by_library(part)  # rare and long: not worth remembering
-        if part.isascii() and part.isalpha() and part.islower():
+        if (out := self.old.get(part)) is not None:
+            pass
+        elif part.isascii() and part.isalpha() and part.islower():
             out = self._by_model(part.decode())
         elif (m := _TAILED.fullmatch(part)) and _LATIN.fullmatch(m[1].decode().lower()):
             out = self[m[1]] + self[m[2]]
         elif not part.isascii() and _LATIN.fullmatch(text := part.decode().lower()):
-            out = self._by_model(text)
+            out = self._by_model("".join([self.letters[b] for b in text.encode()]))
         else:
             out = self._by_library(part)
+        if self.room <= 0:
+            self.old, self.room = dict(self), MEMO
+            self.clear()
+        self.room -= len(part) + len(out) + ENTRY
         self[part] = out
         return out
 

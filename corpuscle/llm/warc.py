@@ -3,7 +3,8 @@
 A record is a UTF-8 string, and the text writer ends it with the blank lines that WARC asks for. Reading trusts no magic
 string: tasks over blocks of a file emit every place that parses as a record header with the place after it, and each
 place's exit from its block. Pointer jumping over the few places where blocks are entered, from the file's start, finds
-the true chain; a header inside a payload is never on it and is dropped.
+the true chain; a header inside a payload is never on it and is dropped. A chain that does not end at its file's end is
+an error, so a damaged archive never reads as a shorter one.
 """
 
 from __future__ import annotations
@@ -17,12 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import shared_path, ship, staged
+from ..session import shared_path, ship, shuffle_partitions, staged
 
 LEAST_SHARED = 100
+FILE_BYTES = 32 << 20
 FILE_RECORDS = 2048
 BLOCK = 4 << 20
-AHEAD = 1 << 20
+AHEAD = 1 << 18
 BROADCAST_ROWS = 100_000
 END = "\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
@@ -31,24 +33,52 @@ _LENGTH = re.compile(rb"(?:^|\n)content-length:[ \t]*(\d+)[ \t]*\r\n", re.IGNORE
 CANDIDATES = "path string, block long, offset long, successor long, exit long, page_id string, kind string, refers_to string, payload_from long, payload_bytes long, payload_digest string"
 
 
+class BrokenArchive(ValueError):
+    """An archive whose records do not reach from its first byte to its last."""
+
+
 def originals(pages: DataFrame, least: int = LEAST_SHARED) -> DataFrame:
-    """digest, original, of payloads of at least `least` bytes that several rows hold: the smallest page_id of each."""
+    """digest, original, rows of payloads of at least `least` bytes that several rows hold: the smallest page_id of each."""
     long = pages.filter(F.col("size") >= least)
-    return long.groupBy("digest").agg(F.min("page_id").alias("original"), F.count("*").alias("rows")).filter("rows > 1").drop("rows")
+    return long.groupBy("digest").agg(F.min("page_id").alias("original"), F.count("*").alias("rows")).filter("rows > 1")
+
+
+def _with_originals(kept: DataFrame, least: int) -> DataFrame:
+    """kept with original, where its payload has one."""
+    shared = staged(originals(kept, least), "originals")
+    if shared.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:  # about 10 MB
+        return kept.join(F.broadcast(shared.drop("rows")), "digest", "left")
+    # a payload of very many rows would fill one task of the join: there are 4 such a partition at most
+    many = kept.count() // (4 * shuffle_partitions(kept.sparkSession))
+    hot, cold = shared.filter(F.col("rows") > many).drop("rows"), shared.filter(F.col("rows") <= many).drop("rows")
+    others = kept.join(F.broadcast(hot.select("digest")), "digest", "left_anti").join(cold, "digest", "left")
+    return kept.join(F.broadcast(hot), "digest").unionByName(others)
 
 
-def write(pages: DataFrame, path: str, least: int = LEAST_SHARED, file_records: int = FILE_RECORDS) -> None:
+def _tiers(kept: DataFrame, file_bytes: int, file_records: int) -> list[tuple[int, int, int]]:
+    """Payload sizes from, to (exclusive) and how many records of them a file may have, for the sizes that occur.
+
+    A file's payloads stay within file_bytes, but for one longer payload alone in its file.
+    """
+    bounds = [0, *(1 + file_bytes // n for n in sorted({file_records, max(file_records // 16, 1), max(file_records // 256, 1)}, reverse=True)), 1 << 31]
+    tier = F.lit(0)
+    for i, low in enumerate(bounds[1:-1], 1):
+        tier = F.when(F.col("size") >= low, i).otherwise(tier)
+    found = kept.groupBy(tier.alias("tier")).agg(F.max("size").alias("most")).collect()  # four rows at most
+    return [(bounds[r.tier], bounds[r.tier + 1], min(file_records, max(1, file_bytes // max(r.most, 1)))) for r in sorted(found)]
+
+
+def write(pages: DataFrame, path: str, least: int = LEAST_SHARED, file_records: int = FILE_RECORDS, file_bytes: int = FILE_BYTES) -> None:
     """One record a row of page_id, url, html; a null html is an empty payload, a null url has no target header.
 
     A row that repeats an earlier payload is a revisit; rows of equal page_id and payload are all responses, as are rows
-    without page_id. Control characters in a url are written as %20. An empty table writes no records.
+    without page_id. Control characters in a url are written as %20. An empty table writes no records. Files are bounded in
+    records and in payload bytes: long payloads go to files of their own, fewer to a file.
     """
     kept = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("payload"))
     kept = kept.withColumns({"digest": F.sha2("payload", 256), "size": F.octet_length("payload")})
-    spark = pages.sparkSession
-    shared = staged(originals(kept, least), "originals")
-    small = shared.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS  # about 10 MB; a larger table is joined by shuffling
-    joined = kept.join(F.broadcast(shared) if small else shared, "digest", "left")
+    ship(pages.sparkSession)
+    joined = _with_originals(kept, least)
     revisit = F.coalesce(F.col("page_id") > F.col("original"), F.lit(False))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("size"), F.lit(END))
     block = F.when(revisit, http).otherwise(F.concat(http, "payload"))
@@ -61,7 +91,10 @@ def write(pages: DataFrame, path: str, least: int = LEAST_SHARED, file_records:
         F.when(revisit, F.concat(F.lit("\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: <urn:page:"), F.col("original"), F.lit(">\r\nWARC-Truncated: length"))).otherwise(F.lit("")),
         F.lit("\r\nContent-Length: "), F.octet_length("block"), F.lit(END), F.col("block"),
     )
-    joined.withColumn("block", block).select(head.alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", file_records).text(path)
+    records = joined.withColumn("block", block).select("size", head.alias("value"))
+    for low, high, each in _tiers(kept, file_bytes, file_records) or [(0, 1, file_records)]:
+        own = records.filter((F.col("size") >= low) & (F.col("size") < high)).select("value")
+        own.write.mode("append").option("lineSep", END).option("maxRecordsPerFile", each).text(path)
 
 
 def _fields(head: bytes) -> dict[str, str]:
@@ -147,9 +180,11 @@ def _entries(places: DataFrame) -> DataFrame:
 def read(spark: SparkSession, path: str, block_size: int = BLOCK, ahead: int = AHEAD) -> DataFrame:
     """The records of the archives under path: page_id, record_type, refers_to, payload_bytes, payload_digest, path, offset, payload_from.
 
-    A header, with the HTTP header after it, may be as long as `ahead`; a payload may be longer than blocks, and is then
-    cut out of its file again. A file is held by one task, as the writer bounds its records. A folder without records
-    gives no rows; a file that does not start with a record gives none either.
+    A header, with the HTTP header after it, may reach `ahead` bytes beyond its block; where one reaches further, the
+    archives are read again with more. A payload may be longer than blocks, and is then cut out of its file again. A file is
+    held by one task, as the writer bounds its bytes; Spark refuses files over 2 GiB. A folder without records gives no
+    rows. BrokenArchive is raised, before any row is returned, for a file whose chain does not start at its first byte and
+    end at its last: a truncated one, one with stray bytes, or none of an archive at all.
     """
     ship(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
@@ -160,7 +195,13 @@ def read(spark: SparkSession, path: str, block_size: int = BLOCK, ahead: int = A
     entered = places.join(entries, ["path", "offset"], "left_semi").select("path", "block", F.col("offset").alias("entry"))
     links = places.groupBy("path", "block").agg(F.collect_list(F.struct("offset", "successor")).alias("links"))  # as many as a block holds
     chain = links.join(entered, ["path", "block"]).select("path", "entry", "links").mapInPandas(_walk, "path string, offset long")
-    true = places.join(chain, ["path", "offset"], "left_semi")
+    true = staged(places.join(chain, ["path", "offset"], "left_semi"), "true")
+    ends = true.groupBy("path").agg(F.max("successor").alias("end"))
+    broken = files.filter("length > 0").select("path", "length").join(ends, "path", "left").filter("end IS NULL OR end <> length").orderBy(F.desc("length")).first()
+    if broken and ahead < broken["length"]:
+        return read(spark, path, block_size, ahead * 16)
+    if broken:
+        raise BrokenArchive(f"{broken['path']}: records reach to byte {broken['end'] or 0} of {broken['length']}")
     long = true.filter("payload_digest IS NULL AND kind <> 'revisit'").groupBy("path").agg(F.collect_list(F.struct("offset", "payload_from", "successor")).alias("parts"))
     again = files.join(long, "path").select("path", "content", F.explode("parts").alias("p"))
     part = F.substring("content", F.col("p.payload_from").cast("int") + 1, (F.col("p.successor") - 4 - F.col("p.payload_from")).cast("int"))

@@ -179,7 +179,7 @@ def test_quality_hard_rows(spark, hard):
 
 def test_jaccard_components(spark, docs, hard):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
-    key = lambda df: {tuple(r) for r in df.collect()}
+    key = lambda df: {tuple(r) for r in df.select("doc_id", "n_shingles", "component_id").collect()}
     assert key(ngram_join.jaccard_components(docs)) == brute_jaccard(rows)
     got = ngram_join.jaccard_components(hard).collect()
     assert len(got) == len(HARD) and {r.component_id for r in got if r.doc_id == 1} == {1} and {r.component_id for r in got if r.doc_id == 2} == {2}
@@ -191,6 +191,9 @@ def test_jaccard_components(spark, docs, hard):
     ngram_join.links = lambda d, s, k, p: real(d, s, k, p, task_shingles=2000)
     try:
         assert key(ngram_join.jaccard_components(df)) == brute_jaccard(near)
+        sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)} for w in (t.split() for _, t in near)]
+        count = {d: sum(a != b and 100 * len(a & b) >= 75 * len(a | b) for b in sets) for (d, _), a in zip(near, sets)}
+        assert {r.doc_id: r.n_links for r in ngram_join.jaccard_components(df).collect()} == count and max(count.values()) > 2
     finally:
         ngram_join.links = real
 
@@ -200,7 +203,7 @@ def test_divide_skip_counts():
     lists = [np.unique(rng.integers(0, 300, n)) for n in (5, 9, 40, 60, 200, 280, 290)]
     count = np.bincount(np.concatenate(lists), minlength=300)
     for least in range(1, 8):
-        places, have = ngram_join.divide_skip(lists, least, 300)
+        places, have = ngram_join.divide_skip(lists, least)
         assert places.tolist() == np.flatnonzero(count >= least).tolist() and (count[places] == have).all()
 
 
@@ -310,8 +313,39 @@ def test_pipeline_stages(spark, docs):
     assert corpus_pipeline.STAGES[4][1](spark, now, SF).select("doc_id").distinct().count() == now.count()
 
 
+def test_near_duplicates_go_by_row(spark):
+    long, unique = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    repeated = [(3, long), (5, long), (5, unique), (None, "n1 n2"), (None, "n1 n2"), (9, "zz yy"), (9, "zz yy")]
+    for rows in (repeated, list(dict.fromkeys(repeated))):
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        got = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, df, SF).collect()]
+        gone = Counter({(5, long): 1, (9, "zz yy"): rows.count((9, "zz yy")) - 1})
+        assert Counter(got) == Counter(rows) - gone
+    assert corpus_pipeline.near_duplicates(spark, df.limit(0), SF).count() == 0
+
+
 def test_pipeline_keeps_other_texts_of_a_doc_id(spark):
     copy, clean = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
     rows = spark.createDataFrame([(1, copy), (2, copy + " more"), (2, clean), (3, clean), (4, None), (None, copy)], "doc_id long, text string")
     got = corpus_pipeline.near_duplicates(spark, rows, SF).collect()
     assert sorted(((r.doc_id or -1), r.text or "") for r in got) == [(-1, copy), (1, copy), (2, clean), (4, "")]
+
+
+def test_warc_reads_whole_archives_or_fails(spark, tmp_path):
+    """A header over `ahead`, a page over the block and over a file's bytes, and damaged archives."""
+    rows = [(i, "http://x/" + ("p" * 3000 if i == 5 else ""), f"page {i} " * (5000 if i == 9 else 30)) for i in range(20)]
+    path = shared_path(spark, "warc")
+    warc.write(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), path, file_records=64, file_bytes=16_000)
+    got = {r.page_id: r for r in warc.read(spark, path, 512, 1024).collect()}
+    assert {p: (r.payload_bytes, r.payload_digest) for p, r in got.items()} == {p: (len(h), hashlib.sha256(h.encode()).hexdigest()) for p, _, h in rows}
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("length").collect()
+    assert len(files) == 2 and sorted(f.length for f in files)[1] > 16_000  # the page over a file's bytes stands alone
+    one = tmp_path / "whole"
+    warc.write(spark.createDataFrame(rows[:8], "page_id long, url string, html string").coalesce(1), one.as_uri())
+    content = next(one.glob("part-*")).read_bytes()
+    for i, bad in enumerate((content[:-7], content[:-200], content.replace(b"page 3 ", b"page 3 xx", 1), b"  " + content, b"no archive")):
+        folder = tmp_path / f"bad{i}"
+        folder.mkdir()
+        (folder / "part-0.txt").write_bytes(bad)
+        with pytest.raises(warc.BrokenArchive):
+            warc.read(spark, folder.as_uri(), 512, 1024)
