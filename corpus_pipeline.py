@@ -1,4 +1,8 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and read again before the next."""
+"""The corpus pipeline: stages over documents, each written as Parquet and read again before the next.
+
+Every stage takes rows with a null in any column, empty and very long texts, repeated rows, further columns of any name and
+empty tables; what it does with them stands at the stage.
+"""
 
 from __future__ import annotations
 
@@ -9,39 +13,40 @@ from corpuscle.llm import decontaminate, ngram_join, packing, quality, secrets
 from corpuscle.session import staged
 
 DROP_ROWS = 1_000_000
+ROW = "near_duplicates_row"
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the ranking accepts."""
+    """Documents that the ranking accepts, all rows of them. Null texts score as empty; without labels of both kinds all stay."""
     return quality.accepted(docs, quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that links connect: that of the smallest doc_id. Rows without doc_id stay.
+    """One row of each group that links connect: that of the smallest doc_id, the first such row of docs if several.
 
-    Rows that share a doc_id are told apart by a hash of the text.
+    Rows are told apart by a number, not by doc_id, so a text stays whatever another row of its doc_id holds. Exact copies
+    are linked, so of repeated rows one stays. Rows without doc_id all stay, as do texts without words.
     """
-    own = docs.withColumn("near_duplicates_key", F.xxhash64("text"))
-    found = ngram_join.jaccard_components(own, keys=("near_duplicates_key",))
-    gone = staged(found.filter("doc_id <> component_id").select("doc_id", "near_duplicates_key").distinct(), "gone")
-    small = gone.limit(DROP_ROWS + 1).count() <= DROP_ROWS  # 16 MB of ids and hashes; more are joined by shuffling
-    kept = own.join(F.broadcast(gone) if small else gone, ["doc_id", "near_duplicates_key"], "left_anti").select(*docs.columns)
-    again = docs.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").isEmpty()
-    return kept if again else kept.dropDuplicates(["doc_id", "text"])
+    own = staged(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+    found = staged(ngram_join.rooted(own, keys=(ROW,)).filter("root IS NOT NULL AND doc_id IS NOT NULL").select("root", "doc_id", "least", ROW), "rooted")
+    first = found.filter("doc_id = least").groupBy("root").agg(F.min(ROW).alias(ROW))
+    gone = staged(found.select(ROW).join(first.select(ROW), ROW, "left_anti"), "gone")
+    small = gone.limit(DROP_ROWS + 1).count() <= DROP_ROWS  # 8 MB of numbers; more are joined by shuffling
+    return own.join(F.broadcast(gone) if small else gone, ROW, "left_anti").select(*docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window of the benchmark."""
+    """Documents that hold no window of the benchmark. Null and empty texts hold none; without items all rows stay."""
     return decontaminate.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, their secrets replaced."""
+    """All documents, their secrets replaced. Null texts stay null; no row goes."""
     return secrets.redacted(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their sequences and offsets."""
+    """The pieces of all documents with their sequences and offsets. Null and empty texts are one piece; repeated rows repeat."""
     return packing.pack(packing.pieces(docs, with_ids=False))
 
 
