@@ -1,13 +1,15 @@
 """Secret scans: fixed patterns, and formats learned by grammar inference.
 
-Labelled credentials make a prefix tree over character classes; states whose continuations are statistically compatible
-merge (ALERGIA), which leaves a probabilistic automaton. Every run of credential characters in a text, and every part of
-one between separators, is then scored by its likelihood under the automaton, a symbol's chance being shared among the
-characters of its class.
+Each format's labelled credentials make a prefix tree over literals and character sets; states whose continuations are
+statistically compatible merge (ALERGIA), which leaves one probabilistic automaton a format. Every run of credential
+characters long enough for any automaton, and every part of one between separators, is scored: by how many bits its
+likelihood under a format exceeds its likelihood as ordinary text or as a random string. A format's threshold is set on
+credentials and on a background that were not learned from.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import random
@@ -25,55 +27,106 @@ KINDS = ("assign", "access", "hex", "format")
 ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE)
 ACCESS = re.compile(rb"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(rb"[0-9a-f]{32,}")
-RUN = re.compile(rb"[A-Za-z0-9+/_.=-]{16,}")
 CUES = (b"passw", b"secret", b"token", b"api")
 SEPARATORS = frozenset("=/.+_-")
-LEAST = 20
+EDGES = ".=-"
 ALPHA = 0.05
-QUANTILE = 0.01
+LITERAL = 8
+FALSE_SHARE = 0.005  # of the background that a format may accept, in the setting of its threshold
+SPLIT_BITS = 8.0  # what a part must be likelier for each side on which it ends inside a longer name or path
 MARK = "[SECRET]"
-_CLASSES = {c: k for k, cs in {"d": "0123456789", "h": "abcdef", "l": "ghijklmnopqrstuvwxyz", "H": "ABCDEF", "U": "GHIJKLMNOPQRSTUVWXYZ"}.items() for c in cs}
-_SHARE = {"d": 10, "h": 6, "l": 20, "H": 6, "U": 20}
+DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+ALNUM, HEXES = DIGITS + LOWER + UPPER, DIGITS + "abcdef"
+#: Character sets, smaller ones first; a symbol is a literal or the first of these with all of a format's other characters.
+SETS = {"digit": DIGITS, "hex": HEXES, "upper": UPPER + DIGITS, "alnum": ALNUM, "url": ALNUM + "_-", "base64": ALNUM + "+/"}
+ORDINARY = """
+The quick brown fox jumps over the lazy dog while many readers question whether ordinary sentences should have some variety
+of words, numbers and names. International organisations responsible for communication between different governments
+published recommendations concerning environmental protection and administrative procedures during the last conference.
+Zwischen den Jahren wurden verschiedene Einrichtungen geschaffen, die sich mit der Entwicklung und Verbreitung allgemeiner
+Kenntnisse beschaeftigen; daraus entstanden gesellschaftliche Veranstaltungen. Les responsables des administrations ont
+presente plusieurs propositions concernant la protection de l'environnement et le developpement des communications. Los
+trabajadores y las organizaciones internacionales presentaron diferentes propuestas sobre la proteccion de los derechos.
+src/main/java/org/example/application/configuration/ApplicationContextInitializer.java tests/unit/test_document_index.py
+IMG_20240115_123456789_HDR.jpg Screenshot_2023-11-04-10-22-35.png backup-2022-03-17T08-30-00.tar.gz report_final_v2.docx
+getUserAccountInformation setDefaultConnectionTimeout MAX_BUFFER_SIZE_IN_BYTES kDefaultThreadCount handle_incoming_request
+https://www.example.org/products/catalogue/index.html?page=12&sort=price user.name@example.com version-1.12.3-beta.4
+"""
+_CODES = {c: i for i, c in enumerate(ALNUM + "+/_.=-", 1)}
+_PLACES = len(_CODES) + 1
+
+
+def _some(rng: random.Random, chars: str, least: int, most: int | None = None) -> str:
+    return "".join(rng.choices(chars, k=rng.randint(least, most or least)))
+
+
+#: Credential formats as their issuers document them.
+FORMATS = {
+    "aws_key": lambda r: "AKIA" + _some(r, UPPER + "234567", 16),
+    "aws_secret": lambda r: _some(r, ALNUM + "+/", 40),
+    "github": lambda r: r.choice(("ghp_", "gho_", "ghs_")) + _some(r, ALNUM, 36),
+    "gitlab": lambda r: "glpat-" + _some(r, ALNUM + "_-", 20),
+    "google": lambda r: "AIza" + _some(r, ALNUM + "_-", 35),
+    "jwt": lambda r: f"eyJ{_some(r, ALNUM, r.choice((17, 33, 34, 49)))}.eyJ{_some(r, ALNUM, 20, 200)}.{_some(r, ALNUM + '_-', 43)}",
+    "npm": lambda r: "npm_" + _some(r, ALNUM, 36),
+    "sendgrid": lambda r: f"SG.{_some(r, ALNUM + '_-', 22)}.{_some(r, ALNUM + '_-', 43)}",
+    "slack": lambda r: f"xox{r.choice('bp')}-{_some(r, DIGITS, 11, 12)}-{_some(r, DIGITS, 11, 12)}-{_some(r, ALNUM, 24)}",
+    "stripe": lambda r: r.choice(("sk_live_", "rk_live_")) + _some(r, ALNUM, 24),
+}
+
+
+def labelled(each: int = 300, seed: int = 11) -> dict[str, list[str]]:
+    """Credentials of each format, made up by rule."""
+    rng = random.Random(seed)
+    return {name: [make(rng) for _ in range(each)] for name, make in FORMATS.items()}
 
 
-def labelled(each: int = 300, seed: int = 11) -> list[str]:
-    """Credentials of publicly documented formats, made up by rule."""
+def background(each: int = 2000, seed: int = 12) -> list[str]:
+    """Runs of credential characters that are no credentials: words, names, paths and dates put together, and random strings."""
     rng = random.Random(seed)
-    some = lambda chars, n: "".join(rng.choices(chars, k=n))
-    digits, lower, upper = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    alnum, hexes = digits + lower + upper, digits + "abcdef"
-    made = []
-    for _ in range(each):
-        made += [
-            "AKIA" + some(upper + digits, 16), "ghp_" + some(alnum, 36), "sk_live_" + some(alnum, 24), "AIza" + some(alnum + "_-", 35),
-            f"xoxb-{some(digits, 12)}-{some(digits, 12)}-{some(alnum, 24)}", some(alnum + "+/", 40), some(hexes, rng.choice((32, 40, 64))),
-            f"eyJ{some(alnum, 17)}.eyJ{some(alnum, 30)}.{some(alnum + '_-', 43)}", some(alnum, 32),
-        ]
-    return made
+    parts = re.findall(r"[A-Za-z0-9+/_.=-]{2,}", ORDINARY)
+    out = [_some(rng, rng.choice((ALNUM, ALNUM + "+/", ALNUM + "_-", LOWER, LOWER + DIGITS, UPPER + DIGITS, DIGITS)), 16, 200) for _ in range(each)]
+    out += [rng.choice(("_", "-", "/", "", ".")).join(rng.choices(parts, k=rng.randint(2, 8))) + rng.choice(("", str(rng.randint(0, 99999)))) for _ in range(each)]
+    return out
 
 
 class Automaton:
-    """A deterministic probabilistic automaton over character classes."""
+    """A deterministic probabilistic automaton over literals and character sets, for one format."""
 
     def __init__(self, samples: list[str], alpha: float = ALPHA):
         self.next: list[dict[str, int]] = [{}]
         self.passed: list[dict[str, int]] = [{}]
         self.ended = [0]
-        for s in samples:
-            at = 0
-            for c in s:
-                c = _CLASSES.get(c, c)
-                self.passed[at][c] = self.passed[at].get(c, 0) + 1
-                if c not in self.next[at]:
-                    self.next[at][c] = len(self.next)
-                    self.next.append({})
-                    self.passed.append({})
-                    self.ended.append(0)
-                at = self.next[at][c]
-            self.ended[at] += 1
         self.bound = math.sqrt(0.5 * math.log(2 / alpha))
+        self._tree(samples)
         self._merge()
 
+    def _tree(self, samples: list[str]) -> None:
+        """The prefix tree. A character that many strings have at a place is a literal there, as is a dot anywhere; all others of the format share one set."""
+        nodes, todo, free = [], [(0, 0, samples)], set()
+        while todo:
+            q, depth, own = todo.pop()
+            by: dict[str, list[str]] = {}
+            for s in own:
+                if len(s) > depth:
+                    by.setdefault(s[depth], []).append(s)
+            self.ended[q] = len(own) - sum(map(len, by.values()))
+            kept = [c for c in sorted(by) if c == "." or (len(by[c]) >= LITERAL and len(by[c]) * 4 >= len(own))]
+            others = [s for c in sorted(by) if c not in kept for s in by[c]]
+            free |= {s[depth] for s in others}
+            nodes.append((q, [*((c, by[c]) for c in kept), *([("", others)] if others else [])]))
+            for _, inside in nodes[-1][1]:
+                todo.append((len(self.next), depth + 1, inside))
+                self.next.append({})
+                self.passed.append({})
+                self.ended.append(0)
+        shared = next((n for n, chars in SETS.items() if free <= set(chars)), "any")
+        t = 1
+        for q, groups in nodes:
+            for c, inside in groups:
+                self.next[q][c or shared], self.passed[q][c or shared] = t, len(inside)
+                t += 1
+
     def _total(self, q: int) -> int:
         return self.ended[q] + sum(self.passed[q].values())
 
@@ -82,10 +135,15 @@ class Automaton:
 
     def _compatible(self, a: int, b: int) -> bool:
         """Hoeffding's bound holds for ends and symbols here and at all states both reach."""
-        todo = [(a, b)]
+        todo, seen = [(a, b)], set()
         while todo:
             a, b = todo.pop()
+            if (a, b) in seen:
+                continue
+            seen.add((a, b))
             n, m = self._total(a), self._total(b)
+            if n and m and not (self.ended[a] and self.ended[b]) and not self.passed[a].keys() & self.passed[b].keys():
+                return False  # few visits make all shares alike, so states must have a continuation in common
             if not self._alike(self.ended[a], n, self.ended[b], m):
                 return False
             for c in self.passed[a].keys() | self.passed[b].keys():
@@ -122,71 +180,134 @@ class Automaton:
                     break
             else:
                 red.append(t)
-        self.states = red
         place = {q: i for i, q in enumerate(red)}
-        #: By place in states: that of the next state and log2 chance of each symbol, and the log2 chance of an end.
-        self.steps = [{k: (place[t], math.log2(self.passed[q][k] / self._total(q) / _SHARE.get(k, 1))) for k, t in self.next[q].items()} for q in red]
+        every = "".join(_CODES)
+        #: By place: for each character the next place and the log2 chance of the step, literals before sets; the log2 chance of an end.
+        self.steps: list[dict[str, tuple[int, float]]] = []
+        for q in red:
+            own: dict[str, tuple[int, float]] = {}
+            for k in sorted(self.next[q], key=lambda k: len(SETS.get(k, every if k == "any" else k))):
+                chars = SETS.get(k, every if k == "any" else k)
+                step = (place[self.next[q][k]], math.log2(self.passed[q][k] / self._total(q) / len(chars)))
+                own |= {c: step for c in chars if c not in own}
+            self.steps.append(own)
         self.ends = [math.log2(self.ended[q] / self._total(q)) if self.ended[q] else -math.inf for q in red]
+        self.shortest = self._shortest()
+
+    def _shortest(self) -> int:
+        """Length of the shortest string with a chance."""
+        reach, seen, n = {0}, {0}, 0
+        while reach and not any(self.ends[q] > -math.inf for q in reach):
+            reach = {t for q in reach for t, _ in self.steps[q].values()} - seen
+            seen |= reach
+            n += 1
+        return n
 
     def score(self, text: str) -> float:
-        """Mean log2 likelihood a character, the end included; minus infinity for what the automaton can't write."""
+        """Log2 likelihood, the end included; minus infinity for what the automaton can't write."""
         at, total = 0, 0.0
         for c in text:
-            k = _CLASSES.get(c, c)
-            if k not in self.steps[at]:
+            if c not in self.steps[at]:
                 return -math.inf
-            at, chance = self.steps[at][k]
+            at, chance = self.steps[at][c]
             total += chance
-        return (total + self.ends[at]) / (len(text) + 1)
+        return total + self.ends[at]
+
+
+class Background:
+    """The likelihood of a string as ordinary text, by pairs of characters, or as random characters of one set, whichever is most."""
+
+    RANDOM = (DIGITS, HEXES, LOWER + DIGITS, UPPER + DIGITS, ALNUM + "+/_.=-")
+    LENGTH = math.log2(200)
+
+    def __init__(self, texts: list[str]):
+        count = [[0.2] * _PLACES for _ in range(_PLACES)]
+        for text in texts:
+            for word in re.findall(r"[A-Za-z0-9+/_.=-]+", text):
+                codes = [0, *(_CODES[c] for c in word)]
+                for a, b in zip(codes, codes[1:]):
+                    count[a][b] += 1
+        self.bits = [[-math.log2(n / sum(row)) for n in row] for row in count]
+        self.random = [(set(chars), math.log2(min(len(chars), 64))) for chars in self.RANDOM]
+
+    def score(self, run: str, a: int, e: int) -> float:
+        """Log2 likelihood of the characters of run from a to e."""
+        codes = [_CODES[c] for c in run[max(a - 1, 0) : e]]
+        codes = codes if a else [0, *codes]
+        ordinary = sum(self.bits[x][y] for x, y in zip(codes, codes[1:]))
+        own = set(run[a:e])
+        return -min(ordinary, *((e - a) * bits for chars, bits in self.random if own <= chars)) - self.LENGTH
 
 
 class Scanner:
     """Finds base matches and learned formats in one text."""
 
-    def __init__(self, samples: list[str] | None = None, alpha: float = ALPHA, quantile: float = QUANTILE):
+    def __init__(self, samples: dict[str, list[str]] | None = None, alpha: float = ALPHA, false_share: float = FALSE_SHARE):
         samples = labelled() if samples is None else samples
-        self.automaton = Automaton(samples, alpha)
-        scores = sorted(self.automaton.score(s) for s in samples)
-        self.least = scores[int(quantile * len(scores))] if scores else math.inf
-
-    def credential(self, run: str) -> bool:
-        mixed = any(c.isdigit() for c in run) and any(c.isalpha() for c in run)
-        return len(run) >= LEAST and mixed and self.automaton.score(run) >= self.least
+        self.background = Background([ORDINARY])
+        self.automata = {n: Automaton([s for i, s in enumerate(own) if i % 3], alpha) for n, own in samples.items()}
+        #: Bits over the background that a format asks for: what all but false_share of the background stay under, and at least 1.
+        self.least: dict[str, float] = {}
+        #: Share of the credentials kept from learning that reach it.
+        self.recall: dict[str, float] = {}
+        runs = background()
+        for name, own in samples.items():
+            gains = sorted((self.gain(name, s) for s in runs), reverse=True)
+            self.least[name] = max(1.0, gains[int(false_share * len(gains))] + 1e-6) if gains else 1.0
+            held = [self.gain(name, s) >= self.least[name] for i, s in enumerate(own) if i % 3 == 0]
+            self.recall[name] = sum(held) / len(held) if held else 0.0
+        self.shortest = min((a.shortest for a in self.automata.values()), default=0)
+        self.run = re.compile(rb"[A-Za-z0-9+/_.=-]{%d,}" % max(self.shortest, 1))
+
+    def gain(self, name: str, run: str) -> float:
+        """Bits by which a whole run is likelier in the format than as background."""
+        score = self.automata[name].score(run)
+        return score - self.background.score(run, 0, len(run)) if score > -math.inf else score
+
+    def best(self, text: str) -> tuple[str, float]:
+        """The format of the most bits over its threshold, and these bits; a credential has none or more."""
+        if any(c not in _CODES for c in text):
+            return "", -math.inf
+        return max(((n, self.gain(n, text) - self.least[n]) for n in self.automata), key=lambda x: x[1], default=("", -math.inf))
+
+    def credential(self, text: str) -> bool:
+        return self.best(text)[1] >= 0
+
+    def candidates(self, run: str) -> Iterator[tuple[int, int, str, float]]:
+        """start, end, format, bits over the threshold of every part of run that is a credential.
+
+        A part starts at run's start or after a separator and ends at run's end or before one, but does not start or end
+        with . = or - itself. A side inside a name or path, that is after or before one of / . + _ -, asks for SPLIT_BITS more.
+        """
+        first, last = len(run) - len(run.lstrip(EDGES)), len(run.rstrip(EDGES))
+        starts = [a for a in range(first, last) if a == first or (run[a - 1] in SEPARATORS and run[a] not in EDGES)]
+        for a in starts:
+            for name, automaton in self.automata.items():
+                at, total, steps, ends = 0, 0.0, automaton.steps, automaton.ends
+                cost = self.least[name] + (0.0 if a == first or run[a - 1] == "=" else SPLIT_BITS)
+                for i in range(a, last):
+                    step = steps[at].get(run[i])
+                    if step is None:
+                        break
+                    at, total = step[0], total + step[1]
+                    e = i + 1
+                    if ends[at] > -math.inf and run[i] not in EDGES and (e == last or run[e] in SEPARATORS):
+                        more = total + ends[at] - self.background.score(run, a, e) - cost - (0.0 if e == last or run[e] == "=" else SPLIT_BITS)
+                        if more >= 0:
+                            yield a, e, name, more
 
     def parts(self, run: str) -> list[tuple[int, int]]:
-        """start, end of credentials in run: all of it without . = - at its ends if that is one, else the disjoint parts whose gains add up to most.
-
-        A part starts at run's start or after a separator and ends at run's end or before one; its gain is the log likelihood
-        over what the least score allows its length. One pass holds one path of the automaton for each state, kind of
-        characters seen and length up to LEAST, as what follows adds the same to all such paths; time grows with run's length.
-        """
-        whole = run.strip(".=-")
-        at = run.index(whole)
-        if len(whole) < LEAST or self.credential(whole):
-            return [(at, at + len(whole))] if len(whole) >= LEAST else []
-        steps, ends, least = self.automaton.steps, self.automaton.ends, self.least
-        best: tuple = (0.0, None)  # gain before i, and the chain of spans
-        paths: dict[tuple, tuple] = {}  # (state, digit seen, letter seen, length up to LEAST) -> total, start, best at start
-        for i, c in enumerate([*run, ""]):
-            last = run[i - 1] if i else "="
-            now = best
-            if (not c or c in SEPARATORS) and last not in ".=-":
-                for (q, digit, letter, n), (total, start, before) in paths.items():
-                    gain = before[0] + total + ends[q] - least * (i - start + 1)
-                    if digit and letter and n >= LEAST and gain >= best[0] and (total + ends[q]) / (i - start + 1) >= least:
-                        best = (gain, (start, i, before[1]))
-            if c and (c not in SEPARATORS and last in SEPARATORS or c not in ".=-" and last == "="):
-                paths[0, False, False, 0] = (0.0, i, now)
-            k, moved = _CLASSES.get(c, c), {}
-            for (q, digit, letter, n), (total, start, before) in paths.items():
-                if k in steps[q]:
-                    q, chance = steps[q][k]
-                    key, path = (q, digit or c.isdigit(), letter or c.isalpha(), min(n + 1, LEAST)), (total + chance, start, before)
-                    old = moved.get(key)
-                    if not old or path[0] + before[0] + least * start > old[0] + old[2][0] + least * old[1]:
-                        moved[key] = path
-            paths = moved
-        out, chain = [], best[1]
+        """start, end of credentials in run: the disjoint candidates whose bits add up to most, one bit for each being added."""
+        found = sorted(set(self.candidates(run)), key=lambda x: (x[1], x[0]))
+        if not found:
+            return []
+        ends = [x[1] for x in found]
+        best: list[tuple] = [(0.0, None)]
+        for a, e, _, more in found:
+            before = best[bisect.bisect_right(ends, a, 0, len(best) - 1)]
+            with_it = (before[0] + more + 1, (a, e, before[1]))
+            best.append(with_it if with_it[0] > best[-1][0] else best[-1])
+        out, chain = [], best[-1][1]
         while chain:
             out.append(chain[:2])
             chain = chain[2]
@@ -198,17 +319,24 @@ class Scanner:
         low = text.lower()
         if any(c in low for c in CUES):
             base += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
-        runs = [m.span() for m in RUN.finditer(text)]
-        for a, b in runs:
-            base += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text, a, b)]
-            base += [(m.start(), 2, m.end()) for m in HEX.finditer(text, a, b)]
-        more = []
-        for a, b in runs:
-            for s, e in sorted((s, e) for s, _, e in base if s < b and e > a) + [(b, b)]:
-                more += [(a + x, 3, a + y) for x, y in self.parts(text[a:s].decode())]
+        if b"AKIA" in text:
+            base += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
+        base += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
+        more, ordered = [], sorted((s, e) for s, _, e in base)
+        for m in self.run.finditer(text):
+            a, b = m.span()
+            for s, e in [x for x in ordered if x[0] < b and x[1] > a] + [(b, b)]:
+                if s - a >= self.shortest:
+                    more += [(a + x, 3, a + y) for x, y in self.parts(text[a:s].decode())]
                 a = max(a, e)
         return sorted(base + more)
 
+    def scored(self, value: bytes) -> str:
+        """The best format of a span's credential and its bits over that format's threshold; - where none can write it."""
+        found = ASSIGN.match(value)
+        name, more = self.best((found[2] if found else value).decode("utf-8", "replace").strip(EDGES))
+        return f"{name}:{more:.1f}" if more > -math.inf else "-"
+
 
 _scanner: list[Scanner] = []
 
@@ -226,29 +354,34 @@ def _points(text: bytes, spans: list[tuple[int, int, int]]) -> list[tuple[int, i
     return [(place(a), k, place(b)) for a, k, b in spans]
 
 
+SCANNED = "doc_id long, n_assign long, n_access long, n_hex long, n_format long, base_sha256 string, spans string, likelihoods string"
+
+
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in (part for whole in batches for part in slices(whole, 1)):
         data, offsets = utf8(batch.column(1))
         rows = []
         for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
             text = data[a:b].tobytes()
-            spans = _points(text, scanner().spans(text))
+            found = scanner().spans(text)
+            spans = _points(text, found)
             name = lambda own: ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in own)
             counts = [sum(x[1] == k for x in spans) for k in range(4)]
-            rows.append((*counts, hashlib.sha256(name([x for x in spans if x[1] < 3]).encode()).hexdigest(), name(spans)))
-        columns = list(zip(*rows)) if rows else [[]] * 6
-        kinds = [pa.int64()] * 4 + [pa.string()] * 2
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))], ["doc_id", "n_assign", "n_access", "n_hex", "n_format", "base_sha256", "spans"])
+            rows.append((*counts, hashlib.sha256(name([x for x in spans if x[1] < 3]).encode()).hexdigest(), name(spans), ",".join(scanner().scored(text[s:e]) for s, _, e in found)))
+        columns = list(zip(*rows)) if rows else [[]] * 7
+        kinds = [pa.int64()] * 4 + [pa.string()] * 3
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))], [x.split()[0] for x in SCANNED.split(", ")])
 
 
 def scanned(docs: DataFrame) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, n_format, base_sha256, spans of each row of docs.
+    """doc_id, n_assign, n_access, n_hex, n_format, base_sha256, spans, likelihoods of each row of docs.
 
-    Only doc_id and text are read. Null and empty texts hold nothing; repeated rows are each scanned; an empty table gives
-    no rows. Kinds may overlap each other; learned formats never overlap base matches.
+    likelihoods has an entry a span: its likeliest format and the bits over that format's threshold, or - where no format
+    can write it. Only doc_id and text are read. Null and empty texts hold nothing; repeated rows are each scanned; an empty
+    table gives no rows. Kinds may overlap each other; learned formats never overlap base matches.
     """
     ship(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scan, "doc_id long, n_assign long, n_access long, n_hex long, n_format long, base_sha256 string, spans string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scan, SCANNED)
 
 
 def redact(text: bytes) -> bytes:
