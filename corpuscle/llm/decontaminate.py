@@ -1,9 +1,9 @@
 """Benchmark decontamination by suffix arrays of the training text.
 
-Each task builds suffix arrays over its own documents, a few megabytes at a time, and binary-searches every suffix of
-every benchmark item in them. A match of a window has only words that some item has, so the arrays hold just the suffixes
-that start with enough such words in a row; all others could match nothing. The benchmark goes to the tasks in blocks of
-at most BLOCK bytes, however large it is.
+Each task builds a suffix array over its own documents, a few megabytes at a time, and binary-searches the suffixes of the
+benchmark's items in it; the places found are compared on, word by word, to the longest verbatim match. The array holds the
+places at which some item's window starts, told by hashes of windows, as a match can start at no other; likewise only the
+suffixes whose window the text has are searched. The benchmark goes to the tasks in blocks of at most BLOCK bytes.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship, staged
-from .wordops import ALNUM_LOWER, slices, utf8, words
+from .wordops import ALNUM_LOWER, run_starts, runs, slices, spread, utf8, words
 
 WINDOW = 10
 BLOCK = 16 << 20
@@ -26,7 +26,7 @@ I64 = np.int64
 
 
 class Items:
-    """One block of benchmark items: their words as codes, and the distinct windows with the items and places that have them."""
+    """One block of benchmark items: their words as codes, and their windows by length and hash."""
 
     def __init__(self, names: list[str], texts: list[str], window: int = WINDOW):
         hashes, _, _, first = words(*utf8(pa.array(texts, pa.string())), ALNUM_LOWER)
@@ -34,14 +34,15 @@ class Items:
         self.vocabulary = np.unique(hashes)
         self.known = np.zeros(1 << 20, bool)
         self.known[(self.vocabulary & np.uint64((1 << 20) - 1)).astype(I64)] = True
-        self.codes = (np.searchsorted(self.vocabulary, hashes) + 1).astype(">u4")
-        raw = self.codes.tobytes()
-        windows: dict[bytes, list[int]] = {}
-        for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
-            for j in range(a, max(b - window, a) + 1) if b > a else ():
-                windows.setdefault(raw[4 * j : 4 * min(j + window, b)], []).append(j)
-        self.windows = sorted(windows.items())
-        self.least = min((len(w) // 4 for w in windows), default=0)
+        self.codes = np.searchsorted(self.vocabulary, hashes) + 1
+        counts = np.diff(first)
+        #: By length of windows: their hashes, sorted, and the places in the items that have them.
+        self.windows: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for n in np.unique(np.minimum(counts[counts > 0], window)).tolist():
+            at = spread(first[:-1], np.where(counts >= window, counts - window + 1, 0) if n == window else (counts == n).astype(I64))
+            found = runs(hashes, n)[at]
+            order = np.argsort(found, kind="stable")
+            self.windows[n] = found[order], at[order]
 
     def code(self, hashes: np.ndarray) -> np.ndarray:
         """1 and up for words that some item has, else 0."""
@@ -70,53 +71,91 @@ def suffix_array(text: np.ndarray, starts: np.ndarray) -> np.ndarray:
             return starts[np.argsort(rank[starts], kind="stable")]
 
 
-def find(items: Items, column: pa.Array) -> tuple[np.ndarray, list[tuple[int, int, int, int, int]]]:
-    """Words of each text, and the longest verbatim matches: text, its word, item, the item's word, length."""
+def matched(text: np.ndarray, places: np.ndarray, pattern: np.ndarray, known: int) -> np.ndarray:
+    """How many words from each place of text equal the pattern's; the first `known` do. text ends with a 0, as each document does."""
+    length = np.full(len(places), known, I64)
+    going, step = np.arange(len(places)), 32
+    while len(going) and known < len(pattern):
+        part = pattern[known : known + step]
+        at = places[going][:, None] + np.arange(known, known + len(part))
+        same = text[np.minimum(at, len(text) - 1)] == part
+        more = np.where(same.all(axis=1), len(part), same.argmin(axis=1))
+        length[going] += more
+        going = going[more == len(part)]
+        known += len(part)
+    return length
+
+
+def find(items: Items, column: pa.Array) -> tuple[np.ndarray, list[np.ndarray], list[tuple[int, int, int, int, int]]]:
+    """Of each text: how many words, and the words that are hit, as its word indexes; and the longest match of each text with each item.
+
+    A match is a text, an item, the text's word, the item's word, a length; of equally long ones the first, by text, stands.
+    """
     hashes, _, _, first = words(*utf8(column), ALNUM_LOWER)
-    totals = np.diff(first)
+    totals, none = np.diff(first), np.zeros(0, I64)
+    hit: list[np.ndarray] = [none] * len(totals)
     if not items.windows or not len(hashes):
-        return totals, []
+        return totals, hit, []
     codes = items.code(hashes)
-    ends = np.zeros(len(codes) + 1, bool)
-    ends[first] = True
-    live = codes > 0
-    begin = np.flatnonzero(live & (np.r_[True, ~live[:-1]] | ends[:-1]))
-    stop = np.flatnonzero(live & (np.r_[~live[1:], True] | ends[1:])) + 1
-    enough = stop - begin >= items.least
-    begin, stop = begin[enough], stop[enough]
-    if not len(begin):
-        return totals, []
-    size = int((stop - begin).sum())
-    text, back = np.zeros(size + len(begin), I64), np.zeros(size + len(begin), I64)
-    at = np.r_[0, np.cumsum(stop - begin + 1)[:-1]]
-    place = np.repeat(at, stop - begin) + np.arange(size) - np.repeat(np.r_[0, np.cumsum(stop - begin)[:-1]], stop - begin)
-    word = np.repeat(begin, stop - begin) + np.arange(size) - np.repeat(np.r_[0, np.cumsum(stop - begin)[:-1]], stop - begin)
+    starts: dict[int, np.ndarray] = {}
+    for n, (known, _) in items.windows.items():
+        at, _ = run_starts(first, n)
+        live = np.cumsum(np.r_[0, codes == 0])
+        at = at[live[at + n] == live[at]]  # all words of the window are some item's
+        found = runs(hashes, n)[at] if len(at) else np.zeros(0, np.uint64)
+        near = np.minimum(np.searchsorted(known, found), len(known) - 1)
+        if len(own := at[known[near] == found]):
+            starts[n] = own
+    if not starts:
+        return totals, hit, []
+    # the text around these places: from each place to the next word that no item has, or the document's end
+    stop = np.zeros(len(codes) + 1, bool)
+    stop[np.flatnonzero(codes == 0)] = True
+    stop[first[1:]] = True
+    stops = np.flatnonzero(stop)
+    begin = np.unique(np.concatenate(list(starts.values())))
+    end = stops[np.searchsorted(stops, begin, "right")]
+    fresh = np.r_[True, end[1:] != end[:-1]]
+    begin, end = begin[fresh], end[fresh]
+    at = np.r_[0, np.cumsum(end - begin + 1)[:-1]]
+    size = int((end - begin + 1).sum())
+    text, back = np.zeros(size, I64), np.zeros(size, I64)
+    word, place = spread(begin, end - begin), spread(at, end - begin)
     text[place], back[place] = codes[word], word
-    left = np.repeat(at + stop - begin, stop - begin) - place
-    array = suffix_array(text, place[left >= items.least])
-    raw, order = text.astype(">u4").tobytes(), array.tolist()
-    diagonals, lengths = [], []
-    for pattern, places in items.windows:
-        n = len(pattern)
-        lo = bisect.bisect_left(order, pattern, key=lambda i: raw[4 * i : 4 * i + n])
-        hi = lo
-        while hi < len(order) and raw[4 * order[hi] : 4 * order[hi] + n] == pattern:
-            hi = bisect.bisect_right(order, pattern, lo=hi, key=lambda i: raw[4 * i : 4 * i + n])
-        for j in places if hi > lo else ():
-            diagonals.append(np.stack([array[lo:hi], np.full(hi - lo, j)]))
-            lengths.append(np.full(hi - lo, n // 4))
-    if not diagonals:
-        return totals, []
-    (p, j), n = np.concatenate(diagonals, axis=1), np.concatenate(lengths)
-    order = np.lexsort((p, p - j))
-    p, j, n = p[order], j[order], n[order]
-    d = p - j
-    item = np.searchsorted(items.first, j, "right") - 1
-    fresh = np.r_[True, (d[1:] != d[:-1]) | (p[1:] != p[:-1] + 1) | (item[1:] != item[:-1])]
-    s = np.flatnonzero(fresh)
-    e = np.r_[s[1:], len(p)] - 1
-    doc = np.searchsorted(first, back[p[s]], "right") - 1
-    return totals, sorted(zip(doc.tolist(), (back[p[s]] - first[doc]).tolist(), item[s].tolist(), (j[s] - items.first[item[s]]).tolist(), (p[e] + n[e] - p[s]).tolist()))
+    best: dict[tuple[int, int], tuple[int, int, int]] = {}
+    covered = np.zeros(len(codes) + 1, I64)
+    raw = text.astype(">u4").tobytes()
+    for n, own in starts.items():
+        to = np.searchsorted(begin, own, "right") - 1
+        array = suffix_array(text, at[to] + own - begin[to])
+        order = array.tolist()
+        known, places = items.windows[n]
+        asked = places[np.isin(known, np.unique(runs(hashes, n)[own]))]  # suffixes whose window the text has
+        for j in asked.tolist():
+            i = int(np.searchsorted(items.first, j, "right")) - 1
+            pattern = items.codes[j : int(items.first[i + 1])]
+            key = pattern[:n].astype(">u4").tobytes()
+            lo = bisect.bisect_left(order, key, key=lambda x: raw[4 * x : 4 * x + 4 * n])
+            hi = bisect.bisect_right(order, key, lo=lo, key=lambda x: raw[4 * x : 4 * x + 4 * n])
+            if hi == lo:
+                continue
+            found = array[lo:hi]
+            length = matched(text, found, pattern, n)
+            start = back[found]
+            np.add.at(covered, start, 1)
+            np.add.at(covered, start + length, -1)
+            doc = np.searchsorted(first, start, "right") - 1
+            by_doc = np.lexsort((start, -length, doc))
+            top = by_doc[np.r_[True, doc[by_doc][1:] != doc[by_doc][:-1]]]
+            for d, s, m in zip(doc[top].tolist(), start[top].tolist(), length[top].tolist()):
+                new = (-m, s - int(first[d]), j - int(items.first[i]))
+                if new < best.get((d, i), (1, 0, 0)):
+                    best[d, i] = new
+    under = np.flatnonzero(np.cumsum(covered) > 0)
+    doc = np.searchsorted(first, under, "right") - 1
+    for d in np.unique(doc).tolist():
+        hit[d] = under[np.searchsorted(doc, d) : np.searchsorted(doc, d, "right")] - first[d]
+    return totals, hit, [(d, i, s, j, -m) for (d, i), (m, s, j) in sorted(best.items())]
 
 
 def blocks(benchmark: DataFrame, window: int = WINDOW, block: int = BLOCK) -> Iterator[Items]:
@@ -133,28 +172,42 @@ def blocks(benchmark: DataFrame, window: int = WINDOW, block: int = BLOCK) -> It
         yield Items(names, texts, window)
 
 
-FOUND = "row long, doc_id long, n_words long, matches array<struct<doc_start:long,item_id:string,item_start:long,n_words:long>>"
-_MATCH = pa.struct([("doc_start", pa.int64()), ("item_id", pa.string()), ("item_start", pa.int64()), ("n_words", pa.int64())])
+_SPAN = [("start", pa.int64()), ("n_words", pa.int64())]
+_MATCH = [("item_id", pa.string()), ("doc_start", pa.int64()), ("item_start", pa.int64()), ("n_words", pa.int64())]
+FOUND = (
+    "row long, doc_id long, n_words long, hits array<struct<start:long,n_words:long>>, "
+    "matches array<struct<item_id:string,doc_start:long,item_start:long,n_words:long>>"
+)
+
+
+def _stretches(hit: np.ndarray) -> list[dict]:
+    """start, n_words of the runs of consecutive numbers."""
+    if not len(hit):
+        return []
+    at = np.flatnonzero(np.r_[True, np.diff(hit) > 1])
+    return [{"start": a, "n_words": n} for a, n in zip(hit[at].tolist(), np.diff(np.r_[at, len(hit)]).tolist())]
 
 
 def _find(items):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole, 2)):
-            totals, matches = find(items.value, batch.column(2))
+            totals, hit, matches = find(items.value, batch.column(2))
             own: list[list] = [[] for _ in totals]
-            for doc, at, item, start, n in matches:
-                own[doc].append((at, items.value.names[item], start, n))
-            made = pa.array([[dict(zip(("doc_start", "item_id", "item_start", "n_words"), m)) for m in x] for x in own], pa.list_(_MATCH))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(totals), made], ["row", "doc_id", "n_words", "matches"])
+            for doc, item, at, start, n in matches:
+                own[doc].append({"item_id": items.value.names[item], "doc_start": at, "item_start": start, "n_words": n})
+            hits = pa.array([_stretches(x) for x in hit], pa.list_(pa.struct(_SPAN)))
+            columns = [batch.column(0), batch.column(1), pa.array(totals), hits, pa.array(own, pa.list_(pa.struct(_MATCH)))]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "n_words", "hits", "matches"])
 
     return run
 
 
 def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
-    """doc_id, n_words, matches (doc_start, item_id, item_start, n_words) of each row of docs.
+    """doc_id, n_words, hits (start, n_words), matches (item_id, doc_start, item_start, n_words) of each row of docs.
 
-    Only doc_id and text, item_id and text are read. Matches are the longest verbatim ones of at least a window, or of a
-    whole shorter item. Null and empty texts have no words and no matches; an item without words matches nothing; repeated
+    Only doc_id and text, item_id and text are read. hits are the stretches of words under windows; with a benchmark of
+    several blocks they may overlap. matches has, of each item found, the longest verbatim match of at least a window, or of
+    a whole shorter item; of equally long ones the first by place in the text, then in the item. Null and empty texts have no words and no matches; an item without words matches nothing; repeated
     rows and items each match for themselves. An empty benchmark leaves all rows without matches.
     """
     spark = docs.sparkSession
@@ -171,16 +224,16 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, bl
     if found is None:
         found = kept.mapInArrow(_find(spark.sparkContext.broadcast(Items([], [], window))), FOUND)
     if several:
-        found = found.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("matches")).alias("matches"))  # a row a block
-    return found.select("doc_id", "n_words", "matches")
+        found = found.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), *(F.flatten(F.collect_list(c)).alias(c) for c in ("hits", "matches")))  # a row a block
+    return found.select("doc_id", "n_words", "hits", "matches")
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         hit, count, digest = [], [], []
-        for own in batch.column(2).to_pylist():
+        for hits, own in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
             covered, reach = 0, 0
-            for a, n in sorted((m["doc_start"], m["n_words"]) for m in own):
+            for a, n in sorted((m["start"], m["n_words"]) for m in hits):
                 covered += max(0, a + n - max(a, reach))
                 reach = max(reach, a + n)
             names = sorted({m["item_id"] for m in own})
@@ -196,8 +249,7 @@ def _clean(items):
         for batch in batches:
             text = batch.schema.get_field_index("text")
             for part in slices(batch, text):
-                hit = {m[0] for m in find(items.value, part.column(text))[1]}
-                yield part.filter(pa.array([i not in hit for i in range(part.num_rows)], pa.bool_()))
+                yield part.filter(pa.array([not len(x) for x in find(items.value, part.column(text))[1]], pa.bool_()))
 
     return run
 

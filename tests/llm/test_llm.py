@@ -134,7 +134,8 @@ def test_token_orc_round_trip(spark, docs, hard):
 def test_decontamination_blocks_and_hard_rows(spark, docs, hard):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     one = decontaminate.find_matches(docs, bench)
-    key = lambda df: sorted((r.doc_id, r.n_words, sorted(map(tuple, r.matches))) for r in df.collect())
+    under = lambda hits: sorted({w for h in hits for w in range(h.start, h.start + h.n_words)})
+    key = lambda df: sorted((r.doc_id, r.n_words, under(r.hits), sorted(map(tuple, r.matches))) for r in df.collect())
     assert key(one) == key(decontaminate.find_matches(docs, bench, block=500))
     hit = {r.doc_id for r in one.collect() if r.matches}
     assert {r.doc_id for r in decontaminate.decontaminated(docs, bench, block=500).collect()} == {r.doc_id for r in docs.collect()} - hit
@@ -144,6 +145,30 @@ def test_decontamination_blocks_and_hard_rows(spark, docs, hard):
     assert all(not r.matches for r in decontaminate.find_matches(hard, own.limit(0)).collect())
 
 
+def test_longest_matches_equal_brute_force():
+    """Texts and items over few words, so that windows recur within texts and items and matches run on."""
+    rng = random.Random(13)
+    some = lambda n: " ".join(rng.choices("abc", [8, 2, 1], k=n))
+    items = [some(rng.randint(1, 40)) for _ in range(25)] + ["", "a b c a b c", "zz"]
+    texts = [some(rng.randint(0, 150)) for _ in range(20)] + [f"x {t} Q9 {t} y" for t in items] + [None, "", "a " * 300]
+    for window in (10, 6):
+        totals, hit, found = decontaminate.find(decontaminate.Items([str(i) for i in range(len(items))], items, window), pa.array(texts, pa.string()))
+        best, under = {}, defaultdict(set)
+        for d, text in enumerate(texts):
+            w = (text or "").lower().split()
+            assert totals[d] == len(w)
+            for i, item in enumerate(items):
+                v = item.split()
+                for s in range(len(w)):
+                    for j in range(len(v)):
+                        n = next((k for k in range(min(len(w) - s, len(v) - j)) if w[s + k] != v[j + k]), min(len(w) - s, len(v) - j))
+                        if n >= min(window, len(v)):
+                            under[d] |= set(range(s, s + n))
+                            best[d, i] = min(best.get((d, i), (0, 0, 0)), (-n, s, j))
+        assert found == [(d, i, s, j, -n) for (d, i), (n, s, j) in sorted(best.items())]
+        assert [x.tolist() for x in hit] == [sorted(under[d]) for d in range(len(texts))]
+
+
 def test_warc_rejects_headers_in_payloads(spark):
     inner = "WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:99>\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
     rows = [(1, "http://a b", "x" * 150), (2, None, "x" * 150), (3, "u", None), (4, "u", inner * 5), (5, "u", "y" * 70_000 + inner), (6, "u", "x" * 150), (7, "u", "é" * 60), (7, "u", "é" * 60), (None, "u", "x" * 150), (8, "u", "")]
