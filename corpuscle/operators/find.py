@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import bisect
+import hashlib
 import re
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from ..session import ship
+
 
 def lines(docs: DataFrame) -> DataFrame:
     """path, line_no (from 1), char_start (from 0), line of every line of content."""
@@ -30,16 +36,76 @@ def literal(docs: DataFrame, pattern: str, roles: tuple[str, ...] = (), scope: s
     return gaps.select("path", "role", (F.col("pos") + 1).alias("line_no"), start.alias("start_column"), (start + len(pattern)).alias("end_column"))
 
 
-def regex(docs: DataFrame, pattern: str, column: str = "content") -> DataFrame:
-    """All columns but the text, with ordinal (from 1) and match of each match of a pattern common to Java and RE2."""
+def _compiled(pattern: str) -> re.Pattern:
+    if not pattern:
+        raise ValueError("an empty pattern matches nothing that can be listed")
     try:
-        re.compile(pattern)
+        return re.compile(pattern, re.MULTILINE)
     except re.error as e:
         raise ValueError(f"invalid pattern: {e}") from e
+
+
+def regex(docs: DataFrame, pattern: str, column: str = "content") -> DataFrame:
+    """All columns but the text, with ordinal (from 1) and match of each match of a pattern common to Java and RE2."""
+    _compiled(pattern)
     found = F.regexp_extract_all(column, F.lit(pattern), F.lit(0))
     return docs.filter(F.col(column).rlike(pattern)).select("*", F.posexplode(found).alias("pos", "match")).withColumn("ordinal", F.col("pos") + 1).drop("pos", column)
 
 
+FOUND = (
+    "path string, role string, start_line int, end_line int, start_column int, end_column int, "
+    "match string, span_hash string, snippet string, file_hash string"
+)
+SNIPPET = 600
+
+
+def matches(docs: DataFrame, pattern: str, roles: tuple[str, ...] = (), scope: str = "") -> DataFrame:
+    """FOUND of every match of a pattern in Python's dialect, ^ and $ at line ends: its lines, columns and the lines' hash.
+
+    docs: path, role, format, content, file_hash. Columns count from 0, an end column on the line where the match ends; a
+    match may hold line breaks. Every text goes through once, in Arrow batches; a pdf has no text of its own.
+    """
+    _compiled(pattern)
+    ship(docs.sparkSession)
+    kept = docs.filter(F.col("format") != "pdf")
+    kept = kept.filter(F.col("role").isin(*roles)) if roles else kept
+    kept = kept.filter((F.col("path") == scope) | F.col("path").startswith(scope + "/")) if scope else kept
+
+    def rows(path: str, role: str, text: str, file_hash: str) -> Iterator[tuple]:
+        breaks = None
+        for m in _compiled(pattern).finditer(text):
+            if breaks is None:
+                breaks = [-1, *(i.start() for i in re.finditer("\n", text)), len(text)]
+            line = lambda at: bisect.bisect_left(breaks, at, 1)
+            first, last, after = line(m.start()), line(max(m.start(), m.end() - 1)), line(m.end())
+            span = text[breaks[first - 1] + 1 : breaks[last]]
+            columns = m.start() - breaks[first - 1] - 1, m.end() - breaks[after - 1] - 1
+            yield path, role, first, last, *columns, m[0], hashlib.sha256(span.encode()).hexdigest(), span[:SNIPPET], file_hash
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [x.split()[0] for x in FOUND.split(", ")]
+        for batch in batches:
+            yield pd.DataFrame([r for d in batch.itertuples(index=False) for r in rows(d.path, d.role, d.content or "", d.file_hash)], columns=names)
+
+    return kept.select("path", "role", "content", "file_hash").mapInPandas(run, FOUND)
+
+
+def attributed(found: DataFrame, sections: DataFrame) -> DataFrame:
+    """found with breadcrumb and page of the section that holds its first line; matches outside all sections have neither."""
+    own = sections.select("path", "breadcrumb", F.col("start_line").alias("from_line"), F.col("end_line").alias("to_line"))
+    at = (found["path"] == own["path"]) & F.col("start_line").between(F.col("from_line"), F.col("to_line"))
+    page = F.regexp_extract("breadcrumb", r"(?:^| > )Page (\d+)$", 1)
+    joined = found.join(own, at, "left").drop(own["path"]).drop("from_line", "to_line")
+    return joined.withColumn("page", F.when(page != "", page.cast("int")))
+
+
+def ordered(found: DataFrame, cursor: str | int | None = None) -> DataFrame:
+    """found by path, page, line, column and match, from the cursor on: a number of rows to leave out, anything else being none."""
+    page = [F.coalesce("page", F.lit(0))] if "page" in found.columns else []
+    start = int(cursor or 0) if str(cursor or "0").isdigit() else 0
+    return found.orderBy("path", *page, "start_line", "start_column", "match").offset(start)
+
+
 # LaTeX's sectioning commands from the highest rank down, and the patterns of headings and entries.
 LATEX_RANKS = ("part", "chapter", "section", "subsection", "subsubsection", "paragraph", "subparagraph")
 LATEX_HEADING = r"^[ \t]*\\(" + "|".join(LATEX_RANKS) + r")\*?\s*\{([^{}]*)\}"

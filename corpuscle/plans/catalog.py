@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import chunks, find, review, search, store
+from ..operators import find, review, search, store
 from ..sources import corpus
 from ..streaming import feed
 
@@ -29,9 +29,6 @@ n AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM w), e AS (SELECT path, len
 h AS (SELECT term, path, dl, count(*) AS tf FROM e JOIN q USING (term) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM h GROUP BY term),
 b AS (SELECT path, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 9) AS score FROM h JOIN df USING (term), n GROUP BY path),
 lex AS (SELECT path, score, row_number() OVER (ORDER BY score DESC, path) AS rank FROM b QUALIFY rank <= 200)"""
-FUSED = """
-m AS (SELECT path, len(string_split(content, chr(10))) AS k FROM d), other AS (SELECT path, row_number() OVER (ORDER BY k DESC, path) AS rank FROM m QUALIFY rank <= 200),
-u AS (SELECT path, lex.rank AS left_rank, other.rank AS right_rank, round(coalesce(1.0::DOUBLE / (60 + lex.rank), 0) + coalesce(1.0::DOUBLE / (60 + other.rank), 0), 9) AS score FROM lex FULL JOIN other USING (path))"""
 CAND = f"""
 hits AS (SELECT path, 'exact_term' AS kind, '{NEEDLE}' AS term, 1.0::DOUBLE AS score FROM d WHERE contains(content, '{NEEDLE}') UNION ALL SELECT path, 'alias', 'onthe', 1.0 FROM d WHERE contains(content, 'onthe')
   UNION ALL SELECT path, 'semantic_only', 'search', score FROM lex),
@@ -158,18 +155,6 @@ def token_counts_approx(spark, sf):
     return corpus.documents(spark, sf).select("path", X.approximate_tokens(F.col("content")).alias("tokens"))
 
 
-@query("chunks_greedy")
-def chunks_greedy(spark, sf):
-    return chunks.chunk(corpus.documents(spark, sf)).select("path", "ordinal", "start_line", "end_line", "token_count", F.sha2("text", 256).alias("text_hash"))
-
-
-@query("low_signal_flags", rf"""WITH {DOCS}, s AS (SELECT path, content, length(regexp_replace(content, '[\t-\r ]', '', 'g')) AS dense, length(regexp_replace(content, '\P{{L}}', '', 'g')) AS letters,
-len(list_distinct(regexp_extract_all(lower(content), '\p{{L}}{{3,}}'))) AS words, list_filter(regexp_split_to_array(content, '[\t-\r ]+'), lambda x: x <> '') AS tokens FROM d)
-SELECT path, dense = 0 OR letters < 0.5 * dense OR words < 6 OR 2 * len(list_filter(tokens, lambda x: regexp_matches(x, '^[-+]?[0-9][0-9.,eE+-]*%?$'))) > len(tokens) AS low_signal FROM s""")
-def low_signal_flags(spark, sf):
-    return corpus.documents(spark, sf).select("path", X.low_signal(F.col("content")).alias("low_signal"))
-
-
 @query("postings_build", f"WITH {DOCS}, w AS (SELECT path, {TERMS.format('content')} AS t FROM d), e AS (SELECT path, len(t)::INT AS dl, unnest(t) AS term FROM w) SELECT term, path, count(*) AS tf, dl FROM e GROUP BY ALL")
 def postings_build(spark, sf):
     return search.postings(corpus.documents(spark, sf), "path", "content")
@@ -185,11 +170,6 @@ def lexical_like_fallback(spark, sf):
     return corpus.documents(spark, sf).filter(F.lower("content").contains(NEEDLE.lower())).select("path")
 
 
-@query("hash_embed")
-def hash_embed(spark, sf):
-    return chunks.embed(corpus.documents(spark, sf), "path", "content").select("path", F.transform("vector", lambda x: F.round(x.cast("double"), 5)).alias("vector"))
-
-
 @query("knn_topk", """WITH q AS (SELECT embedding AS a FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings)),
 s AS (SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], a::DOUBLE[]), 9) AS score FROM embeddings, q) SELECT vec_id, round(score, 6) AS score FROM s ORDER BY s.score DESC, vec_id LIMIT 200""")
 def knn_topk(spark, sf):
@@ -208,36 +188,6 @@ def knn_topk_by_query(spark, sf):
     return search.nearest(vectors, "vec_id", "embedding", asked).select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
-def _fused(spark, docs):
-    longest = docs.select("path", F.size(F.split("content", "\n", -1)).alias("k"), F.lit(1).alias("one"))
-    other = search.top(longest, ["one"], [F.desc("k"), F.asc("path")], search.CHANNEL)
-    return search.fuse(_lexical(spark, docs), other, ["path"]).withColumn("score", F.round("score", 9))
-
-
-@query("hybrid_rrf", f"WITH {DOCS}, {BM25}, {FUSED} SELECT path, left_rank::INT AS left_rank, right_rank::INT AS right_rank, score FROM u")
-def hybrid_rrf(spark, sf):
-    return _fused(spark, corpus.documents(spark, sf))
-
-
-@query("hybrid_rrf_role_postfilter", f"WITH {DOCS}, {BM25}, {FUSED} SELECT path, u.score FROM u JOIN d USING (path) WHERE role = 'reference'")
-def hybrid_rrf_role_postfilter(spark, sf):
-    docs = corpus.documents(spark, sf)
-    return _fused(spark, docs).join(docs.filter("role = 'reference'").select("path"), "path", "left_semi").select("path", "score")
-
-
-@query("overlap_collapse")
-def overlap_collapse(spark, sf):
-    own = chunks.chunk(corpus.documents(spark, sf)).select("path", "start_line", (F.col("end_line") + 1).alias("end_line"), (F.lit(1000) - F.col("token_count")).alias("rank"))
-    return chunks.collapse(own)
-
-
-@query("centered_snippet", f"""WITH {DOCS}, p AS (SELECT path, content, list_min(list_filter([{', '.join(f"instr(lower(content), '{w}')" for w in WORDS.split())}], lambda x: x > 0)) AS p FROM d),
-s AS (SELECT path, content, greatest(1, least(coalesce(p, 1), length(content) - 199)) AS s FROM p)
-SELECT path, CASE WHEN s > 1 THEN '…' ELSE '' END || substr(content, s, 200) || CASE WHEN s + 199 < length(content) THEN '…' ELSE '' END AS snippet FROM s""")
-def centered_snippet(spark, sf):
-    return corpus.documents(spark, sf).select("path", X.centered_snippet(F.col("content"), WORDS.split()).alias("snippet"))
-
-
 @query("search_mrr_recall", f"""WITH {DOCS}, q AS (SELECT item_id, list_distinct({TERMS.format('text')}) AS t FROM benchmark), qt AS (SELECT item_id, unnest(t) AS term FROM q),
 w AS (SELECT path, {TERMS.format('content')} AS t FROM d), n AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM w), e AS (SELECT path, len(t) AS dl, unnest(t) AS term FROM w),
 h AS (SELECT term, path, dl, count(*) AS tf FROM e WHERE term IN (SELECT term FROM qt) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM h GROUP BY term),
@@ -384,3 +334,6 @@ def dangling_refs(spark, sf):
 def trusted_untrusted_split(spark, sf):
     docs = corpus.documents(spark, sf)
     return docs.select("path", "role", "format", F.length("content").alias("untrusted_chars"), F.sha2("content", 256).alias("untrusted_hash"))
+
+
+from . import search_catalog  # noqa: E402, F401  registers its queries

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from corpuscle.functions import text as X
-from corpuscle.operators import chunks, find, review, search, store
+from corpuscle.operators import chunks, find, index, read, review, search, store
 from corpuscle.plans import catalog
 from corpuscle.sources import corpus, manifest, mirror
 from corpuscle.streaming import feed
@@ -44,11 +44,103 @@ def test_sections_nest_and_skip_fences(spark):
 
 
 def test_chunks_join_to_the_text():
-    for text in ("", "a b c\n" * 400, "x" * 50_000, "word " * 3000, "\n\n\n", "one\n" + "y" * 5000 + "\ntwo"):
+    for text in ("", "a b c\n" * 400, "x" * 50_000, "word " * 3000, "\n\n\n", "one\n" + "y" * 5000 + "\ntwo", "a-b" * 900, "one\n" + "two, " * 900 + "\nthree"):
         got = chunks.pack_lines(text)
-        assert "".join(t for t, _, _ in got) == text and all(chunks.count_tokens(t) <= chunks.HARD_TOKENS for t, _, _ in got)
+        whole = got[0][0]
+        for (_, _, end), (part, start, _) in zip(got, got[1:]):
+            whole += ("\n" if start > end else "") + part
+        assert whole == text.removesuffix("\n") and all(chunks.count_tokens("\n\n" + t) <= chunks.HARD_TOKENS for t, _, _ in got)
+        over = {n for n, line in enumerate(text.split("\n"), 1) if chunks.count_tokens("\n\n" + line) > chunks.MAX_TOKENS}
+        assert all(a == b for _, a, b in got if {a, b} & over)  # a line over the target shares no chunk
     with pytest.raises(chunks.TokenBudgetError):
         chunks.pack_lines("a", "b " * 600)
+    assert len(chunks.pack_lines("x" * 500_000)) > 1 and {a for _, a, _ in chunks.pack_lines("x" * 500_000)} == {1}
+
+
+def test_chunks_follow_sections_and_pages(spark):
+    text = "# Contract\n\n## Limits\n" + "word " * 80 + "\n## Page 3\nbody"
+    own = docs(spark, ("c.md", text))
+    got = chunks.chunk(own, 12, 16, find.sections(own)).orderBy("ordinal").collect()
+    assert [r.breadcrumb for r in got][:2] == ["Contract", "Contract > Limits"] and all(r.token_count <= 16 for r in got)
+    assert [(r.page, r.start_line, r.end_line) for r in got if r.page] == [(3, 5, 6)] and [r.ordinal for r in got] == list(range(len(got)))
+    with pytest.raises(ValueError):
+        chunks.pieces(["a"], "", 20, 10)
+
+
+PROSE = "The discussion of this section describes several quite different ordinary words that a reader would recognise at once. "
+
+
+def test_index_replaces_documents_and_keeps_low_signal_out_of_vectors(spark):
+    figure = "# Figure\naxis 0.1 0.2 0.3 0.4 1e-1 axis\n# Discussion\n" + PROSE * 3
+    rows = lambda *r: spark.createDataFrame([(p, "editable", f, c, h) for p, f, c, h in r], "path string, role string, format string, content string, file_hash string")
+    one = index.update(index.empty(spark), rows(("a.md", "markdown", figure, "1"), ("b.md", "markdown", PROSE, "1"), ("c.pdf", "pdf", "", "1")))
+    crumbs = lambda x: sorted((r.path, r.breadcrumb) for r in x.collect())
+    assert crumbs(one["chunks"]) == [("a.md", "Discussion"), ("a.md", "Figure"), ("b.md", "")]
+    assert crumbs(one["vectors"].join(one["chunks"], ["path", "ordinal"])) == [("a.md", "Discussion")]  # b.md has under 40 words
+    assert index.metadata(one["metadata"])["edit_generation"] == 1
+    same = index.update(one, one["documents"])
+    assert index.metadata(same["metadata"]) == index.metadata(one["metadata"])
+    two = index.update(one, rows(("a.md", "markdown", "# New\n" + PROSE * 4, "2"), ("c.pdf", "pdf", "", "1")))
+    assert crumbs(two["chunks"]) == [("a.md", "New")] and index.metadata(two["metadata"])["edit_generation"] == 2
+    asked = spark.createDataFrame([(1, "axis"), (2, 'reader "recognise"'), (3, "absent")], "query_id int, query string")
+    found = index.hybrid(one["chunks"], one["vectors"], asked).collect()
+    first = {r.query_id: (r.path, r.start_line, r.lexical_rank, r.vector_rank) for r in found if r["rank"] == 1}
+    assert first[2][:2] == ("a.md", 3) and ("a.md", 1, 1, None) in {(r.path, r.start_line, r.lexical_rank, r.vector_rank) for r in found if r.query_id == 1}
+    old = one["vectors"].withColumn("strategy_id", F.lit("old")).withColumn("vector", F.array(F.lit(0.0)))
+    assert index.refreshed(old, one["chunks"]).collect() == one["vectors"].collect() and index.unchanged(one["documents"], one["documents"], force=True).count() == 0
+
+
+def test_pdf_rows_are_indexed_through_mirrors(spark):
+    pages = spark.createDataFrame([("p.pdf", 1, "first page"), ("p.pdf", 2, "second page")], "path string, page_no int, page_text string").withColumn("pdf_sha256", F.lit("s"))
+    pdf = spark.createDataFrame([("p.pdf", "reference", "pdf", "", "1"), ("n.md", "editable", "markdown", "note\nmore", "1")], "path string, role string, format string, content string, file_hash string")
+    both = index.with_mirrors(pdf, mirror.mirrors(pages))
+    assert {r.path: r.generated_from for r in both.collect()} == {"p.pdf": None, "n.md": None, "mirrors/p.pdf.md": "p.pdf"}
+    assert {(r.path, r.page) for r in index.chunked(both).collect()} >= {("mirrors/p.pdf.md", 1), ("mirrors/p.pdf.md", 2), ("n.md", None)}
+    assert [r.path for r in index.without(both, both.filter("path = 'p.pdf'")).collect()] == ["n.md"]
+    got = read.read(both, "p.pdf", page=2)
+    assert got.path == "mirrors/p.pdf.md" and got.content.startswith("## Page 2") and got.generated_from == "p.pdf" and "second page" in got.content
+    assert read.read(both, "n.md", 2, 2).content == "more" and read.read(both, "n.md").end_line == 2
+    for wrong in ((("n.md",), {"page": 1}), (("n.md", 2, 9), {}), (("n.md", 0, 1), {}), (("p.pdf",), {"page": 7})):
+        with pytest.raises(ValueError):
+            read.read(both, *wrong[0], **wrong[1])
+    with pytest.raises(read.UnknownSource):
+        read.read(both, "gone.md")
+    with pytest.raises(read.UnknownSource):
+        read.read(pdf, "p.pdf")
+
+
+def test_paths_resolve_as_a_shell_would():
+    there = {"/r/sub/a.md"}
+    assert read.resolve("a.md", "/r", "/r/sub", there.__contains__) == "/r/sub/a.md" and read.resolve("b.md", "/r", "/r/sub", there.__contains__) == "/r/b.md"
+    assert read.resolve("/other/x.md", "/r") == "/other/x.md" and read.resolve(".", "/r") == "/r"
+    for wrong in ("../x.md", "../rest/x.md"):
+        with pytest.raises(read.UnknownSource):
+            read.resolve(wrong, "/r")
+
+
+def test_matches_span_lines_and_are_ordered(spark):
+    own = docs(spark, ("b.md", "# H\nalpha one\ntwo alpha\n"), ("a.md", "x\nalpha")).withColumn("file_hash", F.lit("h"))
+    got = find.ordered(find.attributed(find.matches(own, r"^alpha.*\ntwo|alpha$"), find.sections(own))).collect()
+    assert [(r.path, r.start_line, r.end_line, r.start_column, r.end_column, r.match, r.breadcrumb) for r in got] == [
+        ("a.md", 2, 2, 0, 5, "alpha", ""), ("b.md", 2, 3, 0, 3, "alpha one\ntwo", "H"), ("b.md", 3, 3, 4, 9, "alpha", "H")]
+    assert [r.path for r in find.ordered(find.matches(own, "alpha"), "2").collect()] == ["b.md"] and find.ordered(find.matches(own, "alpha"), "x").count() == 3
+    import hashlib
+
+    assert got[1].span_hash == hashlib.sha256(b"alpha one\ntwo alpha").hexdigest() and find.matches(docs(spark, ("n.md", "NEEDLE line\n" * 5000)).withColumn("file_hash", F.lit("")), "NEEDLE").count() == 5000
+    for wrong in ("[unclosed", ""):
+        with pytest.raises(ValueError):
+            find.matches(own, wrong)
+
+
+def test_small_text_functions(spark):
+    row = spark.createDataFrame([("a  b\n" + "c" * 200, "x\ny\nz", " On ", 'say "two words" two')], "t string, u string, v string, q string")
+    got = row.select(
+        X.one_line(F.col("t")).alias("line"), X.bounded(F.col("t"), 3).alias("cut"), X.line_of(F.col("u"), F.lit(2)).alias("at"), X.truthy(F.col("v")).alias("yes"), X.truthy(F.lit(None).cast("string")).alias("no"),
+        X.query_terms(F.col("q")).alias("q"), X.whitespace_tokens(F.col("q")).alias("n"), X.embedding_input(F.lit("A > B"), F.lit("p"), "passage: ").alias("e"), X.centered_snippet(F.col("t"), ["b", "cc"], 10).alias("s"),
+    ).first()
+    assert got.line == "a b " + "c" * 156 + "..." and got.cut == "a  " and got.at == 2 and got.yes and not got.no
+    assert got.q == ["say", "two", "words"] and got.n == 4 and got.e == "passage: A > B\n\np" and got.s == "…cccccccccc…"
+    assert X.strategy_id(a=1, b="x") == X.strategy_id(b="x", a=1) != X.strategy_id(a=2, b="x")
 
 
 def test_low_signal(spark):
