@@ -92,10 +92,10 @@ def matches(docs: DataFrame, pattern: str, roles: tuple[str, ...] = (), scope: s
 
 def attributed(found: DataFrame, sections: DataFrame) -> DataFrame:
     """found with breadcrumb and page of the section that holds its first line; matches outside all sections have neither."""
-    own = sections.select("path", "breadcrumb", F.col("start_line").alias("from_line"), F.col("end_line").alias("to_line"))
-    at = (found["path"] == own["path"]) & F.col("start_line").between(F.col("from_line"), F.col("to_line"))
+    own = sections.select(F.col("path").alias("in_path"), "breadcrumb", F.col("start_line").alias("from_line"), F.col("end_line").alias("to_line"))
+    at = (F.col("path") == F.col("in_path")) & F.col("start_line").between(F.col("from_line"), F.col("to_line"))
     page = F.regexp_extract("breadcrumb", r"(?:^| > )Page (\d+)$", 1)
-    joined = found.join(own, at, "left").drop(own["path"]).drop("from_line", "to_line")
+    joined = found.join(own, at, "left").drop("in_path", "from_line", "to_line")
     return joined.withColumn("page", F.when(page != "", page.cast("int")))
 
 
