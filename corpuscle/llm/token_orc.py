@@ -24,7 +24,7 @@ from .wordops import slices, utf8
 
 ROW_INDEX = 1000
 STRIPE = 32 << 20
-RANGE_CHARS = 48
+RANGE_CHARS = 12
 ORC = {
     "compression": "zstd",
     "orc.bloom.filter.columns": "doc_id",

@@ -16,8 +16,8 @@ import struct
 
 END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
-MEMO = 40 << 20  # bytes, of each of two generations
-ENTRY = 200  # bytes an entry of a dictionary takes besides its contents
+MEMO = 72 << 20  # bytes, of each of two generations
+ENTRY = 180  # bytes an entry of a dictionary takes besides its contents
 #: The normalizer and pre-tokenizer that make encoding by parts right.
 KNOWN = {
     "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
@@ -31,6 +31,7 @@ KNOWN = {
 }
 _LATIN = re.compile(r"[a-zß-öø-ÿ]+")
 _TAILED = re.compile(rb"([a-z\x80-\xff]+)([!-&(-/:-;=?@\[-`}~]+)")
+_PACKS = [struct.Struct(f"<{n}I").pack for n in range(32)]
 _encoders: dict[str, "Encoder"] = {}
 
 
@@ -59,6 +60,7 @@ class Encoder(dict):
 
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
+        self.tokenize = self.model.tokenize
         self.letters = _byte_letters()
         config = json.loads(self.whole.to_str())
         added = [t["content"] for t in config["added_tokens"]]
@@ -69,26 +71,26 @@ class Encoder(dict):
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def _by_model(self, letters: str) -> bytes:
-        ids = [t.id for t in self.model.tokenize(letters)]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        ids = [t.id for t in self.tokenize(letters)]
+        return _PACKS[len(ids)](*ids) if len(ids) < len(_PACKS) else struct.pack(f"<{len(ids)}I", *ids)
 
     def __missing__(self, part: bytes) -> bytes:
-        if len(part) > 200:
-            return self._by_library(part)  # rare and long: not worth remembering
-        if (out := self.old.get(part)) is not None:
-            pass
-        elif part.isascii() and part.isalpha() and part.islower():
-            out = self._by_model(part.decode())
-        elif (m := _TAILED.fullmatch(part)) and _LATIN.fullmatch(m[1].decode().lower()):
-            out = self[m[1]] + self[m[2]]
-        elif not part.isascii() and _LATIN.fullmatch(text := part.decode().lower()):
-            out = self._by_model("".join([self.letters[b] for b in text.encode()]))
-        else:
-            out = self._by_library(part)
+        out = self.old.get(part)
+        if out is None:
+            if len(part) > 200:
+                return self._by_library(part)  # rare and long: not worth remembering
+            if part.isalpha() and part.islower():  # of bytes: ASCII letters alone
+                out = self._by_model(part.decode())
+            elif (m := _TAILED.fullmatch(part)) and _LATIN.fullmatch(m[1].decode().lower()):
+                out = self[m[1]] + self[m[2]]
+            elif not part.isascii() and _LATIN.fullmatch(text := part.decode().lower()):
+                out = self._by_model("".join([self.letters[b] for b in text.encode()]))
+            else:
+                out = self._by_library(part)
+        self.room -= len(part) + len(out) + ENTRY
         if self.room <= 0:
             self.old, self.room = dict(self), MEMO
             self.clear()
-        self.room -= len(part) + len(out) + ENTRY
         self[part] = out
         return out
 
