@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import find, review, search, store
+from ..operators import find, search, store
 from ..sources import corpus
 from ..streaming import feed
 
@@ -29,12 +29,6 @@ n AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM w), e AS (SELECT path, len
 h AS (SELECT term, path, dl, count(*) AS tf FROM e JOIN q USING (term) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM h GROUP BY term),
 b AS (SELECT path, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 9) AS score FROM h JOIN df USING (term), n GROUP BY path),
 lex AS (SELECT path, score, row_number() OVER (ORDER BY score DESC, path) AS rank FROM b QUALIFY rank <= 200)"""
-CAND = f"""
-hits AS (SELECT path, 'exact_term' AS kind, '{NEEDLE}' AS term, 1.0::DOUBLE AS score FROM d WHERE contains(content, '{NEEDLE}') UNION ALL SELECT path, 'alias', 'onthe', 1.0 FROM d WHERE contains(content, 'onthe')
-  UNION ALL SELECT path, 'semantic_only', 'search', score FROM lex),
-c AS (SELECT path, max(CASE kind WHEN 'exact_term' THEN 2 WHEN 'alias' THEN 1 ELSE 0 END) AS priority, array_to_string(list_sort(list_distinct(list(term))), ',') AS terms, max(score) AS score FROM hits GROUP BY path),
-cand AS (SELECT path, CASE priority WHEN 2 THEN 'exact_term' WHEN 1 THEN 'alias' ELSE 'semantic_only' END AS match_kind, priority::INT AS priority, terms, score FROM c)"""
-CLASSED = CAND + """, cl AS (SELECT cand.*, CASE WHEN toxic = 1 THEN 'needs_edit' WHEN quality = 1 THEN 'consistent' WHEN quality = 0 THEN 'unrelated' END AS classification FROM cand JOIN d USING (path) LEFT JOIN labels USING (doc_id))"""
 VERSIONS = """
 a AS (SELECT path, file_hash FROM d WHERE doc_id % 7 <> 0), z AS (SELECT path, CASE WHEN doc_id % 11 = 0 THEN sha256(content || '!') ELSE file_hash END AS file_hash FROM d WHERE doc_id % 5 <> 0)"""
 EVENTS = """
@@ -65,19 +59,6 @@ def _lexical(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return search.top(scored.withColumn("one", F.lit(1)), ["one"], [F.desc("score"), F.asc("path")], search.CHANNEL).drop("one")
 
 
-def _candidates(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    hit = lambda kind, term: docs.filter(F.col("content").contains(term)).select("path", F.lit(kind).alias("kind"), F.lit(term).alias("term"), F.lit(1.0).alias("score"))
-    found = _lexical(spark, docs).select("path", F.lit("semantic_only").alias("kind"), F.lit("search").alias("term"), "score")
-    return review.merge(hit("exact_term", NEEDLE).unionByName(hit("alias", "onthe")).unionByName(found))
-
-
-def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = corpus.documents(spark, sf_dir)
-    verdict = F.when(F.col("toxic") == 1, "needs_edit").when(F.col("quality") == 1, "consistent").when(F.col("quality") == 0, "unrelated")
-    decisions = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", verdict.alias("classification")).join(docs.select("doc_id", "path"), "doc_id")
-    return review.classify(_candidates(spark, docs), decisions)
-
-
 def _versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     docs = corpus.documents(spark, sf_dir)
     changed = F.when(F.col("doc_id") % 11 == 0, F.sha2(F.concat("content", F.lit("!")), 256)).otherwise(F.col("file_hash"))
@@ -98,7 +79,7 @@ def corpus_summary_counts(spark, sf):
 @query("corpus_role_from_url", r"""
 WITH u AS (SELECT page_id, regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[a-z]+://', '') AS path FROM pages), k AS (SELECT *, lower(regexp_extract(path, '\.([^./]+)$', 1)) AS s FROM u)
 SELECT page_id, path, CASE WHEN len(list_intersect(string_split(lower(path), '/')[:-2], ['generated', 'mirror', 'derived', 'build', '_gen'])) > 0 THEN 'mirror' WHEN s = 'pdf' THEN 'reference' ELSE 'editable' END AS role,
- CASE WHEN s IN ('md', 'markdown') THEN 'markdown' WHEN s = 'mdx' THEN 'mdx' WHEN s IN ('tex', 'latex') THEN 'latex' WHEN s = 'bib' THEN 'bibtex' WHEN s = 'txt' THEN 'text' WHEN s = 'pdf' THEN 'pdf' END AS format FROM k""")
+ CASE WHEN s = 'md' THEN 'markdown' WHEN s = 'mdx' THEN 'mdx' WHEN s IN ('tex', 'latex') THEN 'latex' WHEN s = 'bib' THEN 'bibtex' WHEN s IN ('txt', 'text') THEN 'text' WHEN s = 'pdf' THEN 'pdf' END AS format FROM k""")
 def corpus_role_from_url(spark, sf):
     path = F.regexp_replace(F.regexp_replace("url", "[?#].*$", ""), "^[a-z]+://", "")
     rows = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", path.alias("path")).withColumn("format", corpus.source_format(F.col("path")))
@@ -211,37 +192,6 @@ def expand_query_bundle(spark, sf):
     return rows.select("item_id", F.posexplode(every).alias("pos", "query")).select("item_id", (F.col("pos") + 1).alias("ordinal"), "query")
 
 
-@query("impact_candidates_union", f"WITH {DOCS}, {BM25}, {CAND} SELECT path, match_kind, priority, terms, round(score, 6) AS score FROM cand")
-def impact_candidates_union(spark, sf):
-    return _candidates(spark, corpus.documents(spark, sf)).withColumn("score", F.round("score", 6))
-
-
-@query("impact_semantic_cap", f"WITH {DOCS}, {BM25}, {CAND} SELECT path, match_kind FROM cand QUALIFY match_kind <> 'semantic_only' OR row_number() OVER (PARTITION BY match_kind ORDER BY score DESC, path) <= 50")
-def impact_semantic_cap(spark, sf):
-    return review.cap(_candidates(spark, corpus.documents(spark, sf))).select("path", "match_kind")
-
-
-@query("impact_pages", f"WITH {DOCS}, {BM25}, {CAND} SELECT path, row_number() OVER (ORDER BY priority DESC, path) AS position, (row_number() OVER (ORDER BY priority DESC, path) - 1) // 200 AS page FROM cand")
-def impact_pages(spark, sf):
-    return review.pages(_candidates(spark, corpus.documents(spark, sf))).select("path", "position", "page")
-
-
-@query("impact_classify_counts", f"WITH {DOCS}, {BM25}, {CLASSED} SELECT match_kind, classification, count(*) AS candidates FROM cl GROUP BY CUBE (match_kind, classification)")
-def impact_classify_counts(spark, sf):
-    return _classified(spark, sf).cube("match_kind", "classification").agg(F.count("*").alias("candidates"))
-
-
-@query("impact_edit_inventory", f"WITH {DOCS}, {BM25}, {CLASSED} SELECT DISTINCT path FROM cl WHERE classification = 'needs_edit'")
-def impact_edit_inventory(spark, sf):
-    return review.inventory(_classified(spark, sf))
-
-
-@query("impact_gates", f"WITH {DOCS}, {BM25}, {CLASSED} SELECT count(*) AS candidates, count(*) FILTER (NOT contains(path, 'src0/')) AS unseen, count(*) FILTER (classification IS NULL) AS unclassified, count(*) FILTER (classification = 'uncertain') AS uncertain, count(*) FILTER (NOT contains(path, 'src0/') OR classification IS NULL) = 0 AS finishable FROM cl")
-def impact_gates(spark, sf):
-    classified = _classified(spark, sf)
-    return review.gates(classified, classified.filter(F.col("path").contains("src0/")).select("path"))
-
-
 @query("corpus_revision_digest", f"""WITH {DOCS}, h AS (SELECT sha256(path || chr(0) || file_hash || chr(0) || role) AS h FROM d)
 SELECT count(*) AS documents, sha256({" || ',' || ".join(f"sum(('0x' || substr(h, {1 + 15 * i}, 15))::BIGINT)::VARCHAR" for i in range(4))}) AS revision FROM h""")
 def corpus_revision_digest(spark, sf):
@@ -330,10 +280,4 @@ def dangling_refs(spark, sf):
     return refs.join(heads, "name", "left_anti").groupBy("name").agg(F.count("*").alias("refs"))
 
 
-@query("trusted_untrusted_split", f"WITH {DOCS} SELECT path, role, format, length(content)::INT AS untrusted_chars, sha256(content) AS untrusted_hash FROM d")
-def trusted_untrusted_split(spark, sf):
-    docs = corpus.documents(spark, sf)
-    return docs.select("path", "role", "format", F.length("content").alias("untrusted_chars"), F.sha2("content", 256).alias("untrusted_hash"))
-
-
-from . import search_catalog  # noqa: E402, F401  registers its queries
+from . import impact_catalog, search_catalog, state_catalog  # noqa: E402, F401  registers its queries

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-FORMATS = {"md": "markdown", "markdown": "markdown", "mdx": "mdx", "tex": "latex", "latex": "latex", "bib": "bibtex", "txt": "text", "pdf": "pdf"}
+# Formats by suffix, and folders whose files are mirrors.
+FORMATS = {"md": "markdown", "mdx": "mdx", "tex": "latex", "latex": "latex", "bib": "bibtex", "txt": "text", "text": "text", "pdf": "pdf"}
 MIRROR_FOLDERS = ("generated", "mirror", "derived", "build", "_gen")
 
 

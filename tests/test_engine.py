@@ -1,5 +1,6 @@
 """Operators of the document engine on small inputs, and each query against its SQL."""
 
+import dataclasses
 import os
 import sys
 
@@ -10,11 +11,13 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+from corpuscle.functions import results
 from corpuscle.functions import text as X
-from corpuscle.operators import chunks, find, index, read, review, search, store
+from corpuscle.operators import chunks, find, impact, index, latex, read, search, status, store
 from corpuscle.plans import catalog
 from corpuscle.sources import corpus, manifest, mirror
-from corpuscle.streaming import feed
+from corpuscle.session import staged
+from corpuscle.streaming import feed, worker
 
 SF = "/root/testdata/sf0.001"
 
@@ -164,12 +167,175 @@ def test_store_changes(spark):
     assert store.revision(a, ["path", "file_hash"]).first() == store.revision(a.orderBy(F.desc("path")), ["path", "file_hash"]).first()
 
 
-def test_review_gates(spark):
-    candidates = spark.createDataFrame([("a", "exact_term", 2), ("b", "alias", 1)], "path string, match_kind string, priority int")
-    classified = review.classify(candidates, spark.createDataFrame([("a", "needs_edit")], "path string, classification string"), "consistent")
-    with pytest.raises(review.ReviewStateError):
-        review.finish(classified, candidates.filter("path = 'a'").select("path"))
-    assert [r.path for r in review.finish(classified, candidates.select("path")).collect()] == ["a"]
+def indexed(spark, *rows, before=None):
+    now = spark.createDataFrame([(p, r, "markdown", c, str(hash(c))) for p, r, c in rows], "path string, role string, format string, content string, file_hash string")
+    tables = index.update(before or index.empty(spark), now)
+    return {k: staged(v, k) if k != "metadata" else v for k, v in tables.items()}
+
+
+def decisions(spark, run, **classes):
+    rows = [(r.candidate_id, classes[r.match_kind]) for r in run.candidates.collect() if r.match_kind in classes]
+    return spark.createDataFrame(rows, "candidate_id string, classification string")
+
+
+def test_impact_discovery_and_verification(spark, tmp_path):
+    policy = "The cache policy is documented {}. " + PROSE
+    rows = [("a.md", "editable", policy.format("here")), ("b.md", "editable", policy.format("there")), ("ref.md", "reference", policy.format("elsewhere"))]
+    tables = indexed(spark, *rows)
+    bundle = impact.Bundle("cache policy", ("cache policy", "cache policy"), ("documented there", "cache policy"), ("Where is it documented?", " "))
+    assert bundle.queries() == ["cache policy", "documented there", "Where is it documented?"] and bundle.terms() == [("exact_term", "cache policy"), ("alias", "documented there")]
+    run = impact.start(tables, bundle, "r1", page_size=1)
+    got = {r.path: r for r in run.candidates.collect()}
+    assert set(got) == {"a.md", "b.md"} and got["b.md"].match_kind == "exact_term" and got["b.md"].matched_terms == ["cache policy", "documented there", "Where is it documented?"]
+    assert got["a.md"].channels == ["exact", "search"] and [r.position for r in run.candidates.orderBy("path").collect()] == [0, 1]
+    wide = impact.start(tables, bundle, "r2", roles=("editable", "reference"))
+    assert {r.path for r in wide.candidates.collect()} == {"a.md", "b.md", "ref.md"}
+    impact.save(run, str(tmp_path))
+    run = impact.load(spark, str(tmp_path), "r1")
+    assert run.facts.bundle == bundle and impact.Facts.loads('{"run_id": "old", "more": 1}') == impact.Facts("old")
+    with pytest.raises(impact.ReviewStateError, match="unknown run"):
+        impact.load(spark, str(tmp_path), "r9")
+
+    run, page = impact.page(run)
+    assert (page.total, page.returned, page.remaining, page.next_cursor, page.number) == (2, 1, 1, "1", 0) and len(page.rows.first()["snippet"]) <= 163
+    with pytest.raises(impact.ReviewStateError, match="unread"):
+        impact.finish(run, tables)
+    run, page = impact.page(run, page.next_cursor)
+    assert page.next_cursor is None
+    for cursor in ("x", -1, 9):
+        with pytest.raises(ValueError):
+            impact.page(run, cursor)
+    with pytest.raises(impact.ReviewStateError, match="undecided"):
+        impact.finish(run, tables, spark.createDataFrame([], "candidate_id string, classification string"))
+    for wrong in ([("none", "needs_edit")], [(got["a.md"].candidate_id, "maybe")], [(got["a.md"].candidate_id, None)]):
+        with pytest.raises(ValueError):
+            impact.classify(run, spark.createDataFrame(wrong, "candidate_id string, classification string"))
+    one = spark.createDataFrame([(got["a.md"].candidate_id, "uncertain", 1), (got["a.md"].candidate_id, "needs_edit", 0)], "candidate_id string, classification string, ordinal int")
+    bulk = [{"selector": {"path_prefix": "a"}, "classification": "unrelated"}, {"selector": {"role": ["editable"], "match_kind": ["exact_term"]}, "classification": "consistent"}]
+    unsure = impact.classify(run, one, bulk)
+    assert {r.path: r.classification for r in unsure.classified().collect()} == {"a.md": "uncertain", "b.md": "consistent"}
+    assert impact.progress(run, unsure) == {"decided": 2, "unclassified": 0, "first_unclassified": []} and len(unsure.facts.selectors) == 2
+    with pytest.raises(impact.ReviewStateError, match="uncertain"):
+        impact.finish(unsure, tables)
+    edit = spark.createDataFrame([(got["a.md"].candidate_id, "needs_edit")], "candidate_id string, classification string")
+    with pytest.raises(impact.ReviewStateError, match="read first"):
+        impact.classify(unsure, edit)
+    known, span = impact.read_candidate(unsure, tables, got["a.md"].candidate_id)
+    assert span.content == rows[0][2]
+    with pytest.raises(impact.ReviewStateError, match="unknown candidate"):
+        impact.read_candidate(unsure, tables, "none")
+    ready = impact.classify(known, edit)
+    edited = indexed(spark, ("a.md", "editable", policy.format("nowhere")), *rows[1:], before=tables)
+    for step in (lambda: impact.finish(ready, edited), lambda: impact.read_candidate(ready, edited, got["a.md"].candidate_id)):
+        with pytest.raises(impact.CorpusChanged):
+            step()
+    counts = impact.metrics(ready).first()
+    assert (counts.candidates, counts.relevant, counts.ratio, counts.exact_term, counts.consistent) == (2, 1, 2.0, 2, 1)
+    sealed = impact.finish(ready, tables)
+    assert [r.path for r in sealed.inventory.collect()] == ["a.md"]
+    for step in (lambda: impact.classify(sealed.run, edit), lambda: impact.finish(sealed.run, tables)):
+        with pytest.raises(impact.ReviewStateError, match="sealed"):
+            step()
+
+    verify = lambda **x: impact.start(edited, run_id="v", phase="verify", **x)
+    for wrong in ({}, {"baseline": sealed, "bundle": impact.Bundle("other")}, {"baseline": sealed, "roles": ("reference",)}):
+        with pytest.raises(impact.ReviewStateError):
+            verify(**wrong)
+    again = verify(baseline=sealed)
+    assert [(r.path, r.status, r.unexpected) for r in again.drift.collect()] == [("a.md", "changed", False)]
+    again, _ = impact.page(again, size=500)
+    with pytest.raises(impact.ReviewStateError, match="remain"):
+        impact.finish(impact.classify(again, decisions(spark, again, exact_term="needs_edit")), edited)
+    done = impact.classify(again, decisions(spark, again, exact_term="consistent"))
+    assert impact.finish(done, edited).facts.status == "verified"
+    newer = dict(edited, metadata=index.with_metadata(edited["metadata"], {"edit_generation": 99}))
+    with pytest.raises(impact.CorpusChanged):
+        impact.finish(done, newer)
+    for wrong in ({"phase": "x"}, {"page_size": 0}, {"bundle": impact.Bundle(" ")}, {"bundle": None}, {"roles": ("x",)}):
+        with pytest.raises(ValueError):
+            impact.start(tables, **{"bundle": bundle, **wrong})
+
+
+def test_impact_places_that_moved(spark):
+    rows = [("a.md", "editable", "intro\nneedle one"), ("b.md", "editable", "needle two")]
+    tables = indexed(spark, *rows)
+    run = impact.start(tables, impact.Bundle("needle"), semantic=0)
+    later = indexed(spark, ("a.md", "editable", "new\n" + "\n" * 3 + "needle one"), ("b.md", "editable", "nothing left"), before=tables)
+    got = {r.path: r for r in impact.resolved(run.candidates.filter("match_kind = 'exact_term'").drop("resolved"), later, "needle").collect()}
+    assert got["a.md"].resolved and (got["a.md"].start_line, got["a.md"].end_line) == (1, 5) and not got["b.md"].resolved
+    lost = dataclasses.replace(run, candidates=impact.positioned(impact.resolved(run.candidates.filter("path = 'b.md' AND match_kind = 'exact_term'").drop("position", "resolved"), later, "needle")))
+    lost, _ = impact.page(dataclasses.replace(lost, facts=dataclasses.replace(lost.facts, revision=impact.revision(later))))
+    with pytest.raises(impact.StaleSource):
+        impact.finish(impact.classify(lost, None, [{"selector": {}, "classification": "consistent"}]), later)
+    assert impact.start(tables, impact.Bundle("needle"), semantic=0).candidates.filter("match_kind = 'semantic_only'").count() == 0
+
+
+def test_worker_acknowledges_after_success_only(spark, tmp_path):
+    queue, state, seen = str(tmp_path / "q"), str(tmp_path / "s"), []
+    events = spark.createDataFrame([("e1", "p", ["a.md", "b.md"]), ("e1", "p", ["a.md", "b.md"]), ("e2", "p", ["b.md"])], "event_id string, project string, files array<string>").withColumn("created_at", F.current_timestamp())
+    worker.append(events, queue)
+    (tmp_path / "q" / "z.json").write_text('{"event_id": "e3", "files": ["c.md"\nnot json\n')
+
+    def work(files):
+        if not seen:
+            seen.append(None)
+            raise ValueError("not now")
+        seen.append(sorted(r.path for r in files.collect()))
+
+    assert worker.drain(spark, queue, state, work)["status"] == "failed" and worker.acknowledged(spark, state).count() == 0
+    assert "not now" in worker.errors(spark, state).first()["error"] or worker.errors(spark, state).count() == 1
+    assert worker.drain(spark, queue, state, work) == {"status": "indexed", "files": 2, "events": 2} and seen[1] == ["a.md", "b.md"]
+    assert {r.event_id for r in worker.acknowledged(spark, state).collect()} == {"e1", "e2"}
+    worker.append(events.limit(2), queue)  # told again under the same ids
+    assert worker.drain(spark, queue, state, work)["status"] == "empty" and len(seen) == 2
+    with worker.only_writer(spark, state) as mine:
+        assert mine and worker.drain(spark, queue, state, work)["status"] == "already_running"
+    with worker.only_writer(spark, state) as mine:
+        assert mine
+
+
+def test_gate_and_small_state(spark):
+    rows = spark.createDataFrame([("a", "Verified", 3, 3, [], 0), ("b", "verified", 3, 2, ["x.md"], 1), ("c", None, None, None, None, None)], "project string, verification_status string, edit_generation int, verified_generation int, dirty_files array<string>, needs_edit int")
+    got = {r.project: (r.decision, len(r.reasons)) for r in worker.decision(rows, "strict").collect()}
+    assert got == {"a": ("allow", 0), "b": ("block", 3), "c": ("block", 1)}
+    assert {r.decision for r in worker.decision(rows).collect()} == {"allow", "advise"}
+    assert {r.decision for r in worker.decision(rows.withColumn("tripped", F.lit(True)), "strict").collect()} == {"allow"}
+    payload = {"tool_input": {"file_path": " a.md ", "text": "b.md", "edits": [{"path": "sub/c.TXT"}, {"paths": ["d.png", "/e.tex", "f"]}]}, "path": 7}
+    assert worker.changed_paths(payload, "/r") == ["/e.tex", "/r/a.md", "/r/sub/c.TXT"]
+    assert worker.mode(None, {}) == "advisory" and worker.mode(" Strict ", {}) == "strict" and worker.mode(None, {"enforcement": {"mode": "strict"}}) == worker.mode("", {"mode": "strict"}) == "strict"
+    assert worker.first_state([None, "[1]", "{bad", '{"a": 1}', '{"a": 2}']) == {"a": 1} and worker.first_state([]) == {}
+
+
+def test_latex_findings(spark):
+    tex = "\\label{a} \\label{a}\n50\\% \\ref{a} \\Cref{gone} % \\ref{no}\n\\iffalse\n\\ref{no}\n\\fi\n\\citep{x, y}\\label{free}\n\\def\\z{\\label{no}}\n\\begin{comment}\\ref{no}\n\\end{comment} \\autoref{late}"
+    own = spark.createDataFrame([("m.tex", "latex", tex), ("b.bib", "bibtex", "@article{x,\n}\n@book{x ,\n}\n@misc{w,}"), ("n.md", "markdown", "\\ref{no}"), ("e.tex", "latex", None)], "path string, format string, content string")
+    got = sorted((r.finding, r.key, r.line_no) for r in latex.check(own).collect())
+    assert got == [("dangling_ref", "gone", 2), ("duplicate_entry", "x", 1), ("duplicate_entry", "x", 3), ("duplicate_label", "a", 1), ("duplicate_label", "a", 1), ("uncited_entry", "w", 5), ("undefined_citation", "y", 6), ("unused_label", "free", 6)]
+
+
+def test_results_keep_text_apart_and_within_budget():
+    value = {"path": "a", "Source-Snippet": {"x": ["s1", "s2"]}, "items": [{"text": "t", "line": 1}, 5], "section_breadcrumb": "b"}
+    got = results.split(value)
+    assert got["facts"] == {"path": "a", "items": [{"line": 1}, 5]}
+    assert {(t["field"], t["value"]) for t in got["texts"]} == {("Source-Snippet.x[0]", "s1"), ("Source-Snippet.x[1]", "s2"), ("items[0].text", "t"), ("section_breadcrumb", "b")}
+    assert results.bounded(value) is value
+    big = {"rows": [{"n": i} for i in range(2000)], "deep": {"texts": ["y" * 900] * 500}, "one": "z" * 30_000}
+    cut = results.bounded(big)
+    import json
+
+    assert len(json.dumps(cut, ensure_ascii=False)) <= 16_000 and cut["truncated"] and cut["omitted"]["rows"] > 0 and cut["note"] and len(big["rows"]) == 2000 and len(cut["one"]) == 503
+
+
+def test_status_setup_and_summary(spark):
+    files = spark.createDataFrame([("a.md", "editable", "markdown", None, 3), ("b.pdf", "reference", "pdf", None, 4), ("c.png", "editable", None, "unsupported", 9)], "path string, role string, format string, reason string, bytes long")
+    got = {(r.included, r.role, r.format, r.reason): (r.files, r.bytes) for r in status.summary(files).collect()}
+    assert got == {(True, None, None, None): (2, 7), (False, None, None, None): (1, 9), (True, "editable", None, None): (1, 3), (True, "reference", None, None): (1, 4), (True, None, "markdown", None): (1, 3), (True, None, "pdf", None): (1, 4), (False, None, None, "unsupported"): (1, 9)}
+    written = []
+    assert tuple(status.setup(files, written.append).first())[:2] == (2, 7) and not written
+    status.setup(files, written.append, approve=True)
+    assert written[0].count() == 2
+    with pytest.raises(status.NotSetUp):
+        status.checked(None)
 
 
 def test_pending_events(spark):
