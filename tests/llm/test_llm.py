@@ -349,6 +349,46 @@ def test_repeats_hard_rows(spark, hard):
     assert repeats.remove_repeats(hard.limit(0)).count() == 0
 
 
+def test_repeat_graph_equals_brute_force(spark):
+    """Unbranched paths of the graph of repeated windows, over few words, so that nodes branch and circles close."""
+    rng = random.Random(5)
+    texts = [" ".join(rng.choices("abcd", k=rng.randint(0, 30))) for _ in range(25)] + ["x y z x y z x y z x y z", "x y z x y z", "p q r s t u v w", "p q r s t u v w", "o p q r s t u v w n"]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    df, window = spark.createDataFrame(rows, "doc_id long, text string"), 4
+    held = defaultdict(list)
+    for d, t in rows:
+        w = t.split()
+        for i in range(len(w) - window + 1):
+            held[tuple(w[i : i + window])].append((d, i))
+    edges = {e: min(at) for e, at in held.items() if len(at) > 1}
+    into, out = Counter(e[1:] for e in edges), Counter(e[:-1] for e in edges)
+    up = {e: e for e in edges}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for e in edges:
+        for f in edges:
+            if e[1:] == f[:-1] and into[e[1:]] == 1 and out[e[1:]] == 1:
+                up[find(e)] = find(f)
+    want = defaultdict(set)
+    for e in edges:
+        want[find(e)].add(edges[e])
+    graph = repeats.Graph(df, window, 2)
+    got = defaultdict(set)
+    for r in repeats.compacted(graph).collect():
+        got[r.path] |= {(r.doc_id, r.start + i) for i in range(r.edges)}
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values())) and max(map(len, want.values())) > 3
+    later = {at for e, own in held.items() for at in own if e in edges and at != edges[e]}
+    found = repeats.pieces(graph)
+    assert {(r.doc_id, r["at"] + i) for r in found.collect() for i in range(r.edges)} == later
+    assert repeats.verified(df, found, window).count() == found.count()
+    other = found.withColumn("source_at", F.when(F.col("source_at") > 0, F.col("source_at") - 1).otherwise(F.col("source_at") + 1))
+    assert repeats.verified(df, other, window).count() < found.count()
+
+
 def test_packing_is_gapless_and_tight(spark, docs, hard):
     whole = tokens.encoder(tokens.vocabulary()).whole
     for df in (docs, hard):
@@ -372,6 +412,110 @@ def test_packing_is_gapless_and_tight(spark, docs, hard):
     assert packing.pack(packing.pieces(hard.limit(0))).count() == 0
 
 
+def test_packing_pieces_and_places_equal_brute_force(spark, docs, hard):
+    """start, piece, length and checksum of each piece from the tokenizers library; and the rule of placement, tried bin by bin."""
+    whole = tokens.encoder(tokens.vocabulary()).whole
+    for df in (docs, hard):
+        want = Counter()
+        for r in df.collect():
+            ids = np.array([*whole.encode(r.text or "", add_special_tokens=False).ids, 0], "<u4")
+            for k in range(0, len(ids), 2048):
+                want[r.doc_id, k // 2048, k, len(ids[k : k + 2048]), zlib.crc32(ids[k : k + 2048].tobytes())] += 1
+        got = packing.pack(packing.pieces(df, with_ids=False)).collect()
+        assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == want
+    rng, capacity = np.random.default_rng(9), 30
+    lengths = np.sort(rng.integers(1, capacity + 1, 300))[::-1]
+    where, offset = packing.sum_of_squares(lengths, capacity)
+    gaps: list[int] = []
+    for s, w, o in zip(lengths.tolist(), where.tolist(), offset.tolist()):
+        if w == len(gaps):
+            assert s == capacity or not any(g >= s for g in gaps)  # a bin is opened only where none has room
+            gaps.append(capacity)
+        else:
+            cost = {}
+            for g in {g for g in gaps if g >= s}:
+                after = gaps.copy()
+                after[after.index(g)] -= s
+                cost[g] = sum(n * n for g_, n in Counter(after).items() if 0 < g_ < capacity)
+            assert cost[gaps[w]] == min(cost.values()) and gaps[w] == min(g for g in cost if cost[g] == min(cost.values()))
+        assert o == capacity - gaps[w]
+        gaps[w] -= s
+    many = spark.createDataFrame([(None, None)] * 5000, "doc_id long, text string")
+    spread = packing.pack(packing.pieces(many, with_ids=False), group=500)
+    sizes = [r["count"] for r in spread.groupBy(F.shiftright("sequence_id", 32)).count().collect()]
+    assert len(sizes) == 10 and max(sizes) < 700 and sum(sizes) == 5000
+
+
+def test_token_lookup_reads_few_rows(spark, docs):
+    """A doc_id that lies between those there is answered from Bloom filters and row indexes: no stripe gives a row."""
+    import pyarrow.orc as orc
+
+    path = shared_path(spark, "orc")
+    rows = spark.range(0, 40_000, 2).select(F.col("id").alias("doc_id"), F.lit("a b c").alias("text")).repartition(4)
+    token_orc.write(rows, path)
+    one = token_orc.rows(spark, path)
+    plan = one.filter("doc_id = 20000")._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(doc_id), EqualTo(doc_id,20000)]" in plan
+    for wanted, found in ((20_000, 1), (20_001, 0)):
+        read = one.filter(F.col("doc_id") == wanted)
+        assert read.count() == found
+    local = path.removeprefix("file:")
+    files = [os.path.join(local, "data", f) for f in os.listdir(os.path.join(local, "data")) if f.endswith(".orc")]
+    assert sum(orc.ORCFile(f).nrows for f in files) == 20_000 and all(orc.ORCFile(f).nstripes for f in files)
+    tail = b"".join(open(f, "rb").read() for f in files)
+    assert all(orc.ORCFile(f).row_index_stride == token_orc.ROW_INDEX for f in files) and len(tail) > 0
+
+
+def test_pairwise_fit_is_the_minimum_of_the_loss():
+    """The fitted weights against plain gradient descent on the same pairs' logistic loss."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(400, 5)) * [1, 5, 0.1, 2, 1]
+    good = x[:, 0] + 0.3 * x[:, 1] + rng.normal(size=400) > 0
+    ranker = quality.learn(np.zeros(0, np.uint64), x, good, 0.4, pairs=4000, seed=3)
+    z = np.clip((x - x.mean(axis=0)) / (x.std(axis=0) + 1e-6), -8, 8)
+    draw = np.random.default_rng(3)
+    d = z[draw.choice(np.flatnonzero(good), 4000)] - z[draw.choice(np.flatnonzero(~good), 4000)]
+    w = np.zeros(5)
+    for _ in range(4000):
+        w -= 0.5 * (d.T @ (1 / (1 + np.exp(-(d @ w))) - 1) / 4000 + quality.RIDGE * w)
+    assert np.abs(w - ranker.weight).max() < 1e-3
+    strength = ranker.strength(x)
+    below = strength < ranker.threshold
+    share = 0.6 * below[good].mean() + 0.4 * below[~good].mean()
+    assert abs(share - 0.4) < 0.01  # the quantile of label 0's share, both labels weighed by their shares
+
+
+def test_quality_without_labels_keeps_all(spark, docs, hard):
+    none = quality.train(docs, spark.createDataFrame([], "doc_id long, quality int"))
+    assert quality.accepted(docs, none).count() == docs.count() and quality.accepted(hard, none).count() == len(HARD)
+
+
+def test_empty_tables_and_versions(spark, hard):
+    assert line_rules.judged(hard.limit(0)).count() == 0
+    table = shards.ShardedTable(spark, shared_path(spark, "t"))
+    table.append(hard.limit(0))
+    assert table.read().count() == 0
+    table.append(hard)
+    assert table.read().count() == len(HARD)
+
+
+def test_pipeline_stages_take_hard_rows(spark, hard, tmp_path):
+    """Nulls and repeats in any column, clashing names, and empty tables, through every stage; and the whole run."""
+    for name, rows in (("labels", [(1, 1, 0), (2, 0, 0), (None, 1, None), (4, None, 1)]), ("benchmark", [(1, "zz yy ww"), (2, None), (None, "")])):
+        kinds = "doc_id long, quality int, toxic int" if name == "labels" else "item_id long, text string"
+        spark.createDataFrame(rows, kinds).write.parquet(f"{tmp_path}/{name}.parquet")
+    for df in (hard, hard.limit(0)):
+        now = df
+        for _, stage in corpus_pipeline.STAGES[:4]:
+            after = stage(spark, now, str(tmp_path))
+            assert after.columns == df.columns
+            now = spark.createDataFrame(after.collect(), df.schema)
+        assert (corpus_pipeline.STAGES[4][1](spark, now, str(tmp_path)).count() == 0) == (now.count() == 0)
+    spark.read.parquet(f"{SF}/documents.parquet").write.parquet(f"{tmp_path}/documents.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.columns[:2] == ["doc_id", "piece"] and out.groupBy("sequence_id").agg(F.sum("length").alias("n")).filter("n > 2048").isEmpty()
+
+
 def test_pipeline_stages(spark, docs):
     columns, now = docs.columns, docs
     for name, stage in corpus_pipeline.STAGES[:4]:
