@@ -2,14 +2,15 @@
 
 A pair is a document labelled 1 against one labelled 0; the model's chance that the first is preferred is the logistic
 function of the difference of their scores, which are linear in features of the text alone. The training sample is
-bounded per label (SAMPLE rows), drawn by a hash; the threshold is the score quantile at the share of label 0 among all
-labelled rows that may be learned from, and scores are shifted so that it lies at ACCEPT.
+bounded per label (SAMPLE rows), drawn by a hash; all else covers all rows: usual words are counted over all documents, and
+the threshold is the score quantile, at the share of label 0, of all labelled rows that may be learned from. Scores are
+shifted so that it lies at ACCEPT.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,7 @@ from .wordops import SPACED_LOWER, slices, table, utf8, words
 SAMPLE = 8000
 PAIRS = 60_000
 COMMON = 400
+BROADCAST_ROWS = 1_000_000
 ACCEPT = 0.3
 RIDGE = 1e-3
 _LINES = table(b"\n", False)
@@ -117,8 +119,8 @@ def remainder(column: str = "doc_id"):
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in (part for whole in batches for part in slices(whole, 2)):
-        names, counts = np.unique(words(*utf8(batch.column(2)), SPACED_LOWER)[0], return_counts=True)
+    for batch in (part for whole in batches for part in slices(whole, 0)):
+        names, counts = np.unique(words(*utf8(batch.column(0)), SPACED_LOWER)[0], return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(counts, pa.int64())], ["hash", "n"])
 
 
@@ -133,7 +135,8 @@ def _features(common: np.ndarray):
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ranker:
     """Fit on at most `sample` rows a label, those of least hash, whose doc_id's crc32 leaves a remainder by 5.
 
-    Rows without doc_id or quality teach nothing. If a doc_id is labelled or stored more than once, each row counts.
+    Rows without doc_id or quality teach nothing. If a doc_id is labelled or stored more than once, each row counts. Without
+    labels of both kinds all texts get one score, above ACCEPT.
     """
     ship(docs.sparkSession)
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter("doc_id IS NOT NULL AND quality IN (0, 1)").filter(remainder() != 0)
@@ -144,12 +147,30 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ranker:
         chosen = part if chosen is None else chosen.unionByName(part)
     kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
     rows = staged(kept.select("doc_id", "quality", F.coalesce("text", F.lit("")).alias("text")), "sample")
-    counts = rows.mapInArrow(_counts, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "hash").limit(COMMON).toPandas()
+    counts = docs.select("text").mapInArrow(_counts, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "hash").limit(COMMON).toPandas()
     common = usual(counts["hash"].to_numpy(np.int64).view(np.uint64), counts["n"].to_numpy())
     got = rows.mapInArrow(_features(common), "doc_id long, quality int, x array<double>").toPandas()
-    x = np.array(got["x"].tolist(), float).reshape(len(got), -1)
+    x = np.array(got["x"].tolist(), float).reshape(len(got), -1) if len(got) else np.zeros((0, 1))
     order = np.lexsort((*x.T[::-1], got["quality"], got["doc_id"])) if len(got) else np.zeros(0, int)
-    return learn(common, x[order], got["quality"].to_numpy()[order] == 1, share)
+    ranker = learn(common, x[order], got["quality"].to_numpy()[order] == 1, share)
+    if not len(ranker.weight):
+        return ranker
+    ids = usable.select("doc_id").distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL")
+    if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:  # 16 MB; with more labels all texts are scored, and numbers joined
+        texts = texts.join(F.broadcast(ids), "doc_id", "left_semi")
+    strong = texts.mapInArrow(_strength(docs.sparkSession.sparkContext.broadcast(ranker)), "doc_id long, strength double")
+    last = strong.join(usable, "doc_id").agg(F.percentile_approx("strength", share, 100_000)).first()[0]
+    return replace(ranker, threshold=float(np.nextafter(last, np.inf)))
+
+
+def _strength(ranker):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
+            own = ranker.value
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own.strength(features(batch.column(1), own.common)))], ["doc_id", "strength"])
+
+    return run
 
 
 def _score(ranker):
