@@ -8,7 +8,7 @@ Each distinct edge has its source, the first place where it occurs. Edges that f
 are cut at branching nodes, those that several distinct edges enter or leave, found by joining edges to the degrees of nodes.
 The segments left meet at nodes; where one alone ends and one alone starts there, they are joined, and pointer jumping
 compacts such chains to unbranched paths. A later occurrence is a piece of a path; its words are compared with those at its
-source, by SHA-256 of both, and the pieces of a document that take up where others end are joined to long spans.
+source, by SHA-256 of both, and the pieces of a document that take up where others end make its long spans.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ WINDOW = 20
 SEED = 8
 FILTER_BITS = 1 << 28
 FILTER_PARTS = 256
-BUCKET_BYTES = 16 << 20  # of text a bucket of edges stands for
+BUCKET_BYTES = 4 << 20  # of text a bucket of edges stands for
 U64, I64, I32, U32 = np.uint64, np.int64, np.int32, np.uint32
 
 
@@ -335,20 +335,17 @@ def verified(docs: DataFrame, found: DataFrame, window: int = WINDOW) -> DataFra
 
 
 def spans(found: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, text_key, start, n_words: long spans, each a chain of pieces of which one takes up where the other ends.
+    """doc_id, text_key, start, n_words: long spans, each of pieces of which one takes up at the node where another ends, or before.
 
-    A piece that ends at word p and one that starts with the edge at p share a node; they are joined on it, and pointer
-    jumping along these joins compacts a chain of any length in as many rounds as its length has binary digits.
+    One sort a document, by place: a piece that starts beyond all before it starts a span.
     """
-    node = found.select("doc_id", "text_key", "at", (F.col("at") + F.col("edges")).alias("end")).distinct()
-    heads = node.select("doc_id", "text_key", F.col("at").alias("end"), F.col("end").alias("further"))
-    links = node.join(heads, ["doc_id", "text_key", "end"], "left")
-    chain = staged(links.select("doc_id", "text_key", "at", F.coalesce("further", "end").alias("end"), F.col("further").isNotNull().alias("moved")), "chain")
-    while not chain.filter("moved").isEmpty():
-        ahead = chain.select("doc_id", "text_key", F.col("at").alias("end"), F.col("end").alias("further"))
-        chain = staged(chain.drop("moved").join(ahead, ["doc_id", "text_key", "end"], "left").select("doc_id", "text_key", "at", F.coalesce("further", "end").alias("end"), F.col("further").isNotNull().alias("moved")), "chain")
-    longest = chain.groupBy("doc_id", "text_key", "end").agg(F.min("at").alias("start"))
-    return longest.select("doc_id", "text_key", "start", (F.col("end") - F.col("start") + window - 1).alias("n_words"))
+    by = Window.partitionBy("doc_id", "text_key").orderBy("at", "edges")
+    reach = F.max(F.col("at") + F.col("edges")).over(by.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = (F.col("at") > F.coalesce(reach, F.lit(-1))).cast("int")
+    island = F.sum("fresh").over(by.rowsBetween(Window.unboundedPreceding, 0))
+    own = found.select("doc_id", "text_key", "at", "edges").withColumn("fresh", fresh).withColumn("island", island)
+    long = own.groupBy("doc_id", "text_key", "island").agg(F.min("at").alias("start"), F.max(F.col("at") + F.col("edges")).alias("end"))
+    return long.select("doc_id", "text_key", "start", (F.col("end") - F.col("start") + window - 1).alias("n_words"))
 
 
 def _cut(with_text: bool):
