@@ -8,7 +8,7 @@ Each distinct edge has its source, the first place where it occurs. Edges that f
 are cut at branching nodes, those that several distinct edges enter or leave, found by joining edges to the degrees of nodes.
 The segments left meet at nodes; where one alone ends and one alone starts there, they are joined, and pointer jumping
 compacts such chains to unbranched paths. A later occurrence is a piece of a path; its words are compared with those at its
-source, by SHA-256 of both, and the pieces of a document that take up where others end make its long spans.
+source, by SHA-256 of both, before they go; pieces of a document that take up where others end are its long spans.
 """
 
 from __future__ import annotations
@@ -33,6 +33,7 @@ WINDOW = 20
 SEED = 8
 FILTER_BITS = 1 << 28
 FILTER_PARTS = 256
+BROADCAST_ROWS = 1_000_000
 BUCKET_BYTES = 4 << 20  # of text a bucket of edges stands for
 U64, I64, I32, U32 = np.uint64, np.int64, np.int32, np.uint32
 
@@ -297,8 +298,13 @@ def pieces(graph: Graph) -> DataFrame:
     return on.select("doc_id", "text_key", (F.col("start") + begin - F.col("source_start")).alias("at"), (end - begin).alias("edges"), "source_doc", "source_key", begin.alias("source_at"), "path")
 
 
+def _sha(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lo: int, hi: int) -> bytes:
+    """128 bits of the SHA-256 of the words from lo to hi, joined by one blank."""
+    return hashlib.sha256(b" ".join(data[starts[lo] : ends[hi - 1]].tobytes().split())).digest()[:16] if lo < hi else b""
+
+
 def _digests(window: int):
-    """SHA-256 of the words under each piece of a document."""
+    """The hash of the words under each stretch of a document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole, 2)):
@@ -307,35 +313,33 @@ def _digests(window: int):
             rows = []
             for i, (doc, key, own) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist())):
                 a, b = int(first[i]), int(first[i + 1])
-                known = {}
-                for x in own:
-                    lo, hi = a + x["at"], min(a + x["at"] + x["edges"] + window - 1, b)
-                    if (lo, hi) not in known:
-                        text = b" ".join(data[starts[lo] : ends[hi - 1]].tobytes().split()) if lo < hi else b""
-                        known[lo, hi] = hashlib.sha256(text).digest()
-                    rows.append((doc, key, x["at"], x["edges"], known[lo, hi]))
+                rows += [(doc, key, x["at"], x["edges"], _sha(data, starts, ends, a + x["at"], min(a + x["at"] + x["edges"] + window - 1, b))) for x in own]
             columns = list(zip(*rows)) if rows else [[]] * 5
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "text_key", "at", "edges", "digest"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], SOURCES)
 
     return run
 
 
-def verified(docs: DataFrame, found: DataFrame, window: int = WINDOW) -> DataFrame:
-    """found (pieces) whose words are those at their sources, by SHA-256 of both."""
-    asked = found.select("doc_id", "text_key", "at", "edges").unionByName(found.select("source_doc", "source_key", "source_at", "edges").toDF("doc_id", "text_key", "at", "edges")).distinct()
-    grouped = asked.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("at", "edges")).alias("own"))  # within one document
+SOURCES = ["source_doc", "source_key", "source_at", "edges", "digest"]
+
+
+def sourced(docs: DataFrame, found: DataFrame, window: int = WINDOW) -> DataFrame:
+    """found (pieces) with digest, the hash of the words at their sources. Only documents that are sources are read."""
+    asked = found.select(*SOURCES[:4]).distinct()
+    grouped = staged(asked.groupBy("source_doc", "source_key").agg(F.collect_list(F.struct(F.col("source_at").alias("at"), "edges")).alias("own")), "asked")  # within one document
     least = F.lit(-(1 << 63))
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), least).alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
-    one = keyed.join(grouped, ["doc_id", "text_key"]).select("doc_id", "text_key", "text", "own")
-    sums = staged(one.mapInArrow(_digests(window), "doc_id long, text_key long, at int, edges int, digest binary").distinct(), "digests")
-    there = sums.toDF("source_doc", "source_key", "source_at", "edges", "source_digest")
-    both = found.join(sums, ["doc_id", "text_key", "at", "edges"]).join(there, ["source_doc", "source_key", "source_at", "edges"])
-    return both.filter("digest = source_digest").select(found.columns)
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), least).alias("source_doc"), F.xxhash64("text").alias("source_key"), "text")
+    names = grouped.select("source_doc", "source_key")
+    if names.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:  # 16 MB; with more, all texts are shuffled
+        keyed = keyed.join(F.broadcast(names), ["source_doc", "source_key"], "left_semi")
+    one = keyed.join(grouped, ["source_doc", "source_key"]).select("source_doc", "source_key", "text", "own")
+    sums = one.mapInArrow(_digests(window), "source_doc long, source_key long, source_at int, edges int, digest binary").distinct()
+    return found.join(sums, SOURCES[:4]).select(*found.columns, "digest")
 
 
 def spans(found: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, text_key, start, n_words: long spans, each of pieces of which one takes up at the node where another ends, or before.
+    """doc_id, text_key, start, n_words: the long spans of pieces of which one takes up at the node where another ends, or before.
 
     One sort a document, by place: a piece that starts beyond all before it starts a span.
     """
@@ -348,7 +352,9 @@ def spans(found: DataFrame, window: int = WINDOW) -> DataFrame:
     return long.select("doc_id", "text_key", "start", (F.col("end") - F.col("start") + window - 1).alias("n_words"))
 
 
-def _cut(with_text: bool):
+def _cut(window: int, with_text: bool):
+    """Each text without the words under its pieces, of those that read as their sources do."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole, 1)):
             data, offsets = utf8(batch.column(1))
@@ -358,7 +364,9 @@ def _cut(with_text: bool):
                 a, b = int(first[i]), int(first[i + 1])
                 keep = np.ones(b - a, bool)
                 for s in own or ():
-                    keep[s["start"] : s["start"] + s["n_words"]] = False
+                    lo, hi = s["at"], s["at"] + s["edges"] + window - 1
+                    if a + hi <= b and _sha(data, starts, ends, a + lo, a + hi) == s["digest"]:
+                        keep[lo:hi] = False
                 raw = data[offsets[i] : offsets[i + 1]].tobytes()
                 if keep.all():
                     text = b" ".join(raw.split())  # bytes.split() splits at the same six bytes
@@ -374,6 +382,15 @@ def _cut(with_text: bool):
     return run
 
 
+def without_pieces(docs: DataFrame, found: DataFrame, window: int = WINDOW, with_text: bool = True) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 (and kept) of each row of docs, the words under sourced pieces gone where they read as their sources do."""
+    grouped = found.groupBy(F.col("doc_id").alias("span_doc"), "text_key").agg(F.collect_list(F.struct("at", "edges", "digest")).alias("spans"))  # within one document
+    least = F.lit(-(1 << 63))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), least).alias("span_doc"), F.xxhash64("text").alias("text_key"))
+    fields = [("doc_id", T.LongType()), ("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept_sha256", T.StringType()), *([("kept", T.StringType())] if with_text else [])]
+    return keyed.join(grouped, ["span_doc", "text_key"], "left").select("doc_id", "text", "spans").mapInArrow(_cut(window, with_text), T.StructType([T.StructField(*f) for f in fields]))
+
+
 def remove_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED, with_text: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (and kept, the words left joined by one space) of each row of docs.
 
@@ -381,12 +398,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED, with
     same words start at a smaller doc_id or earlier under the same doc_id; a null doc_id is smaller than all. Repeated
     rows have the same places, so each keeps what the first keeps. An empty table gives no rows.
     """
-    found = staged(pieces(Graph(docs, window, seed)), "pieces")
-    long = spans(verified(docs, found, window), window)
-    grouped = long.groupBy(F.col("doc_id").alias("span_doc"), "text_key").agg(F.collect_list(F.struct("start", "n_words")).alias("spans"))  # within one document
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("span_doc"), F.xxhash64("text").alias("text_key"))
-    fields = [("doc_id", T.LongType()), ("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept_sha256", T.StringType()), *([("kept", T.StringType())] if with_text else [])]
-    return keyed.join(grouped, ["span_doc", "text_key"], "left").select("doc_id", "text", "spans").mapInArrow(_cut(with_text), T.StructType([T.StructField(*f) for f in fields]))
+    found = sourced(docs, staged(pieces(Graph(docs, window, seed)), "pieces"), window)
+    return without_pieces(docs, found, window, with_text)
 
 
 def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
