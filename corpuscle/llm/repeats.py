@@ -114,7 +114,7 @@ class Filter:
 
 
 SENT = ["bucket", "counts", "docs", "keys", "froms", "tos", "places"]
-EDGES = "kind int, bucket int, counts binary, docs binary, keys binary, places binary, froms binary, tos binary, source_docs binary, source_keys binary, source_places binary"
+EDGES = "kind int, bucket int, counts binary, docs binary, keys binary, places binary, froms binary, tos binary, sources binary, source_places binary"
 LATER, FIRST, NODE = 0, 1, 2
 
 
@@ -152,6 +152,11 @@ def _dealt(kind: int, key: np.ndarray, buckets: int, doc: np.ndarray, text: np.n
         yield {"kind": kind} | dict(zip(names, row))
 
 
+def _name(doc: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """64 bits for a document's id and text, half of what both take; a source's words are compared later, so a false name does no harm."""
+    return mix(doc.view(U64) ^ mix(key.view(U64)))
+
+
 def _edges(buckets: int):
     """Edges of one bucket that occur again: each later place with its edge's first, and each first place with its nodes, to their documents; each first place to its edge's nodes."""
 
@@ -170,10 +175,11 @@ def _edges(buckets: int):
         later = later[np.lexsort((place[later], key[later], doc[later]))]
         own = own[np.lexsort((place[own], key[own], doc[own]))]
         s = source[later]
-        out = list(_dealt(LATER, doc[later].view(U64), buckets, doc[later], key[later], {"places": place[later], "source_docs": doc[s], "source_keys": key[s], "source_places": place[s]}))
+        out = list(_dealt(LATER, doc[later].view(U64), buckets, doc[later], key[later], {"places": place[later], "sources": _name(doc[s], key[s]), "source_places": place[s]}))
         out += _dealt(FIRST, doc[own].view(U64), buckets, doc[own], key[own], {"places": place[own], "froms": a[own], "tos": b[own]})
         out += _dealt(NODE, a[own], buckets, doc[own], key[own], {"places": place[own], "froms": a[own]})
-        out += _dealt(NODE, b[own], buckets, doc[own], key[own], {"places": place[own], "tos": b[own]})
+        none = np.zeros(len(own), I64)  # of edges that enter a node, only their number matters
+        out += _dealt(NODE, b[own], buckets, none, none, {"tos": b[own]})
         return pd.DataFrame(out, columns=[x.split()[0] for x in EDGES.split(", ")])
 
     return run
@@ -195,7 +201,7 @@ def _branching(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"doc_id": doc[cut], "text_key": key[cut], "place": place[cut], "node": node[cut].view(I64)})
 
 
-PATHS = "doc_id long, text_key long, start int, edges int, source_doc long, source_key long, source_start int, from_node long, to_node long"
+PATHS = "doc_id long, text_key long, start int, edges int, source long, source_start int, from_node long, to_node long"
 
 
 def _runs(rows: pd.DataFrame) -> pd.DataFrame:
@@ -210,18 +216,18 @@ def _runs(rows: pd.DataFrame) -> pd.DataFrame:
         place = blobs.joined(own["places"], I32)
         if is_first:
             a, b = blobs.joined(own["froms"], U64).view(I64), blobs.joined(own["tos"], U64).view(I64)
-            to, to_key, at = doc, key, place
+            to, at = _name(doc, key).view(I64), place
         else:
-            to, to_key, at = blobs.joined(own["source_docs"], I64), blobs.joined(own["source_keys"], I64), blobs.joined(own["source_places"], I32)
+            to, at = blobs.joined(own["sources"], I64), blobs.joined(own["source_places"], I32)
             a = b = np.zeros(len(doc), I64)
         order = np.lexsort((place, key, doc))
-        doc, key, place, to, to_key, at, a, b = (x[order] for x in (doc, key, place, to, to_key, at, a, b))
+        doc, key, place, to, at, a, b = (x[order] for x in (doc, key, place, to, at, a, b))
         keep = np.r_[True, (doc[1:] != doc[:-1]) | (key[1:] != key[:-1]) | (place[1:] != place[:-1])]
-        doc, key, place, to, to_key, at, a, b = (x[keep] for x in (doc, key, place, to, to_key, at, a, b))  # repeated rows say the same
-        new = np.r_[True, (doc[1:] != doc[:-1]) | (key[1:] != key[:-1]) | (place[1:] != place[:-1] + 1) | (to[1:] != to[:-1]) | (to_key[1:] != to_key[:-1]) | (at[1:] != at[:-1] + 1)]
+        doc, key, place, to, at, a, b = (x[keep] for x in (doc, key, place, to, at, a, b))  # repeated rows say the same
+        new = np.r_[True, (doc[1:] != doc[:-1]) | (key[1:] != key[:-1]) | (place[1:] != place[:-1] + 1) | (to[1:] != to[:-1]) | (at[1:] != at[:-1] + 1)]
         s = np.flatnonzero(new)
         e = np.r_[s[1:], len(doc)]
-        made = {"doc_id": doc[s], "text_key": key[s], "start": place[s], "edges": (e - s).astype(I32), "source_doc": to[s], "source_key": to_key[s], "source_start": at[s]}
+        made = {"doc_id": doc[s], "text_key": key[s], "start": place[s], "edges": (e - s).astype(I32), "source": to[s], "source_start": at[s]}
         nodes = {"from_node": pd.array(a[s], "Int64"), "to_node": pd.array(b[e - 1], "Int64")} if is_first else {c: pd.array([None] * len(s), "Int64") for c in ("from_node", "to_node")}
         out.append(pd.DataFrame(made | nodes))
     return pd.concat(out, ignore_index=True) if out else pd.DataFrame(columns=[x.split()[0] for x in PATHS.split(", ")])
@@ -248,19 +254,19 @@ class Graph:
         found = staged(edges.filter(F.col("kind") != NODE).groupBy("bucket").applyInPandas(_runs, PATHS), "runs")
         self.cuts = staged(edges.filter(F.col("kind") == NODE).groupBy("bucket").applyInPandas(_branching, CUTS), "cuts")
         self.later = found.filter("from_node IS NULL").drop("from_node", "to_node")
-        self.first = found.filter("from_node IS NOT NULL").select("doc_id", "text_key", "start", "edges", "from_node", "to_node")
+        self.first = found.filter("from_node IS NOT NULL").select("doc_id", "text_key", "source", "start", "edges", "from_node", "to_node")
 
 
 def segments(graph: Graph) -> DataFrame:
-    """doc_id, text_key, start, edges, from_node, to_node: the runs of first places, cut at branching nodes."""
+    """doc_id, text_key, source (a name of both), start, edges, from_node, to_node: the runs of first places, cut at branching nodes."""
     run = graph.first.select("*", (F.col("start") + F.col("edges")).alias("end"))
     inside = graph.cuts.withColumnsRenamed({"doc_id": "d", "text_key": "k"})
     at = (F.col("doc_id") == F.col("d")) & (F.col("text_key") == F.col("k")) & (F.col("place") > F.col("start")) & (F.col("place") < F.col("end"))
-    cut = run.join(inside, at).select("doc_id", "text_key", "start", "place", "node", "end", "to_node")
-    whole = run.select("doc_id", "text_key", "start", F.col("start").alias("place"), F.col("from_node").alias("node"), "end", "to_node")
+    cut = run.join(inside, at).select("doc_id", "text_key", "source", "start", "place", "node", "end", "to_node")
+    whole = run.select("doc_id", "text_key", "source", "start", F.col("start").alias("place"), F.col("from_node").alias("node"), "end", "to_node")
     by = Window.partitionBy("doc_id", "text_key", "start").orderBy("place")
     parts = cut.unionByName(whole).withColumn("until", F.coalesce(F.lead("place").over(by), "end")).withColumn("into", F.coalesce(F.lead("node").over(by), "to_node"))
-    return parts.select("doc_id", "text_key", F.col("place").alias("start"), (F.col("until") - F.col("place")).alias("edges"), F.col("node").alias("from_node"), F.col("into").alias("to_node"))
+    return parts.select("doc_id", "text_key", "source", F.col("place").alias("start"), (F.col("until") - F.col("place")).alias("edges"), F.col("node").alias("from_node"), F.col("into").alias("to_node"))
 
 
 def compacted(graph: Graph) -> DataFrame:
@@ -291,9 +297,9 @@ def compacted(graph: Graph) -> DataFrame:
 
 def pieces(graph: Graph) -> DataFrame:
     """doc_id, text_key, at, edges, source_doc, source_key, source_at, path: later runs by the segments that their sources lie on."""
-    seg = compacted(graph).select(F.col("doc_id").alias("source_doc"), F.col("text_key").alias("source_key"), F.col("start").alias("from"), (F.col("start") + F.col("edges")).alias("until"), "path")
+    seg = compacted(graph).select("source", F.col("doc_id").alias("source_doc"), F.col("text_key").alias("source_key"), F.col("start").alias("from"), (F.col("start") + F.col("edges")).alias("until"), "path")
     run = graph.later.withColumn("source_end", F.col("source_start") + F.col("edges"))
-    on = run.join(seg, ["source_doc", "source_key"]).filter((F.col("from") < F.col("source_end")) & (F.col("until") > F.col("source_start")))
+    on = run.join(seg, "source").filter((F.col("from") < F.col("source_end")) & (F.col("until") > F.col("source_start")))
     begin, end = F.greatest("from", "source_start"), F.least("until", "source_end")
     return on.select("doc_id", "text_key", (F.col("start") + begin - F.col("source_start")).alias("at"), (end - begin).alias("edges"), "source_doc", "source_key", begin.alias("source_at"), "path")
 
