@@ -13,11 +13,16 @@ from pyspark.sql import DataFrame, SparkSession
 ROOT = Path(__file__).resolve().parent.parent
 
 
+_work: list[str] = []
+
+
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; a temporary one only where that is unset (tests, local runs)."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset a temporary one is made, but only if executors are threads of this machine."""
     context = spark.sparkContext
     base = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not base:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = Path(tempfile.mkdtemp(prefix="corpuscle-")).as_uri()
     if not context.getCheckpointDir():
         context.setCheckpointDir(base)
@@ -25,7 +30,18 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    _work.append(path)
+    return path
+
+
+def discard(spark: SparkSession) -> int:
+    """Delete the work tables made so far, and say how many. Only when no result is read from them any more."""
+    gone = 0
+    while _work:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_work.pop())
+        gone += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return gone
 
 
 def staged(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+from corpuscle import session
 from corpuscle.functions import results
 from corpuscle.functions import text as X
 from corpuscle.operators import chunks, find, impact, index, latex, read, search, status, store
@@ -338,6 +339,12 @@ def test_status_setup_and_summary(spark):
         status.checked(None)
 
 
+def test_work_tables_are_discarded(spark):
+    kept = staged(spark.range(3).toDF("id"), "kept")
+    assert kept.count() == 3 and session.discard(spark) >= 1
+    assert session.discard(spark) == 0
+
+
 def test_pending_events(spark):
     events = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b")], "event_id long, path string")
     assert [r.path for r in feed.pending(events, spark.createDataFrame([(2,)], "event_id long")).collect()] == ["a"]
