@@ -267,11 +267,13 @@ def rooted(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, keys: tuple[
     counts = found.filter("b IS NULL").groupBy("a").agg(F.sum("n").alias("n_links"))
     sets = known.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("own"), F.count("*").alias("rows"))
     sets = staged(sets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "sets")
-    several = sets.groupBy("root").agg(F.min("own").alias("least"), F.count("*").alias("parts")).filter("parts > 1").drop("parts")
-    named = sets.join(several, "root", "left").join(counts, sets["node"] == counts["a"], "left")
-    named = staged(named.select("node", "root", "rows", F.coalesce("least", "own").alias("least"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "named")
-    # sets of very many rows would fill one task of the join: there are 4 a partition at most, and they are broadcast
+    # roots of very many sets, and sets of very many rows, would fill one task of a join: there are 4 a partition at most, and they are broadcast
     many = 1 + (total["rows"] or 0) // (4 * shuffle_partitions(spark))
+    several = staged(sets.groupBy("root").agg(F.min("own").alias("least"), F.count("*").alias("parts")).filter("parts > 1"), "several")
+    large = several.filter(F.col("parts") > many).drop("parts")
+    others = sets.join(F.broadcast(large.select("root")), "root", "left_anti").join(several.drop("parts"), "root", "left")
+    named = sets.join(F.broadcast(large), "root").select(others.columns).unionByName(others).join(counts, F.col("node") == counts["a"], "left")
+    named = staged(named.select("node", "root", "rows", F.coalesce("least", "own").alias("least"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "named")
     hot = named.filter(F.col("rows") > many).drop("rows")
     cold = named.filter(F.col("rows") <= many).drop("rows")
     columns = ["doc_id", "n_shingles", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "root", "least", *keys]
