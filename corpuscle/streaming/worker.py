@@ -15,7 +15,10 @@ from ..sources.corpus import FORMATS
 
 EVENT = "event_id string, created_at timestamp, project string, files array<string>"
 # The keys under which an editor's payload names files; states that count as clean; the burst a gate allows.
-PATH_KEYS = ("path", "paths", "file", "files", "file_path", "file_paths", "filename", "notebook_path", "changed_files", "changed_paths")
+PATH_KEYS = (
+    "file_path", "filepath", "path", "notebook_path", "file", "files", "file_paths", "changed_file", "changed_files", "edited_file", "edited_files",
+    "modified_file", "modified_files", "source_path",
+)
 CLEAN = ("verified", "passed", "clean", "ok", "success")
 COUNTERS = ("needs_edit", "unresolved", "uncertain", "unclassified", "scope_drift_files")
 BURST, GAP = 3, 30

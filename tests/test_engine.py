@@ -301,7 +301,7 @@ def test_gate_and_small_state(spark):
     assert got == {"a": ("allow", 0), "b": ("block", 3), "c": ("block", 1)}
     assert {r.decision for r in worker.decision(rows).collect()} == {"allow", "advise"}
     assert {r.decision for r in worker.decision(rows.withColumn("tripped", F.lit(True)), "strict").collect()} == {"allow"}
-    payload = {"tool_input": {"file_path": " a.md ", "text": "b.md", "edits": [{"path": "sub/c.TXT"}, {"paths": ["d.png", "/e.tex", "f"]}]}, "path": 7}
+    payload = {"tool_input": {"file_path": " a.md ", "text": "b.md", "edits": [{"path": "sub/c.TXT"}, {"files": ["d.png", "/e.tex", "f"]}]}, "path": 7}
     assert worker.changed_paths(payload, "/r") == ["/e.tex", "/r/a.md", "/r/sub/c.TXT"]
     assert worker.mode(None, {}) == "advisory" and worker.mode(" Strict ", {}) == "strict" and worker.mode(None, {"enforcement": {"mode": "strict"}}) == worker.mode("", {"mode": "strict"}) == "strict"
     assert worker.first_state([None, "[1]", "{bad", '{"a": 1}', '{"a": 2}']) == {"a": 1} and worker.first_state([]) == {}
